@@ -19,6 +19,7 @@ from profila.functions import text
 from profila.functions.labels import value_text
 from profila.model import CATEGORICAL, DATETIME, IDENTIFIER, NUMERIC, ROW, TEXT, Column
 from profila.operators.kernels import first_rows, number, numbers, value_counts
+from profila.session import together
 
 NUMERIC_SHARE = 0.95
 DATE_SHARE = 0.9
@@ -74,8 +75,9 @@ def infer(
     typed = raw.select(ROW, *[
         _typed(raw, c, f"`{c.name}`", formats, decimal_comma, c.name in native).alias(c.name)
         for c in columns.values()])
-    _profile_numbers(typed, [c for c in columns.values() if c.type == NUMERIC], native)
-    _profile_dates(typed, [c for c in columns.values() if c.type == DATETIME], native)
+    together(
+        lambda: _profile_numbers(typed, [c for c in columns.values() if c.type == NUMERIC], native),
+        lambda: _profile_dates(typed, [c for c in columns.values() if c.type == DATETIME], native))
     for c in columns.values():
         c.missing = rows - c.non_null
         c.missing_pct = c.missing / rows * 100 if rows else 0.0
@@ -165,8 +167,9 @@ def _profile_strings(distinct: DataFrame, columns: list[Column], decimal_comma:
             _name_text_type(c, m)
             if share[c.name] >= 0.5 and c.type in (CATEGORICAL, TEXT):
                 c.notes.append(NOTE_MIXED.format(share[c.name] * 100))
-    _add_examples(distinct, seen, formats, decimal_comma)
-    _add_spellings(distinct, {c.name: c for c in seen if c.type == CATEGORICAL})
+    together(
+        lambda: _add_samples(distinct, seen), lambda: _add_invalid(distinct, seen, formats, decimal_comma),
+        lambda: _add_spellings(distinct, {c.name: c for c in seen if c.type == CATEGORICAL}))
     return formats
 
 
@@ -197,17 +200,24 @@ def unreadable(distinct: DataFrame, numeric: Sequence[str], formats: dict[str, s
     return distinct.where(F.coalesce(bad, F.lit(False)))
 
 
-def _add_examples(distinct, columns: list[Column], formats, decimal_comma) -> None:
+def _add_samples(distinct, columns: list[Column]) -> None:
     by_name = {c.name: c for c in columns}
     for r in first_values(distinct).orderBy("column", "_nth").collect():
         by_name[r["column"]].samples.append(r["value"])
+
+
+def _add_invalid(distinct, columns: list[Column], formats, decimal_comma) -> None:
+    by_name = {c.name: c for c in columns}
     numeric = [c.name for c in columns if c.type == NUMERIC]
     if not numeric and not formats:
         return
     bad = unreadable(distinct, numeric, formats, decimal_comma)
-    for r in bad.groupBy("column").agg(F.sum("n").alias("n")).collect():
+    counts, shown = together(
+        lambda: bad.groupBy("column").agg(F.sum("n").alias("n")).collect(),
+        lambda: first_values(bad).orderBy("column", "_nth").collect())
+    for r in counts:
         by_name[r["column"]].invalid = r["n"]
-    for r in first_values(bad).orderBy("column", "_nth").collect():
+    for r in shown:
         by_name[r["column"]].invalid_examples.append(r["value"])
 
 
@@ -241,12 +251,14 @@ def _add_spellings(distinct, by_name: dict[str, Column]) -> None:
     if not by_name:
         return
     cats = distinct.where(F.col("column").isin(list(by_name)))
-    for r in case_variants(cats).orderBy("column", "position").collect():
-        by_name[r["column"]].case_variants.append(list(r["spellings"]))
     few = [n for n, c in by_name.items() if c.unique <= ABBREVIATION_LEVELS]
-    if few:
-        for r in abbreviations(cats.where(F.col("column").isin(few))).orderBy("column", "position").collect():
-            by_name[r["column"]].abbreviations.append([r["short"], r["long"]])
+    variants, short = together(
+        lambda: case_variants(cats).orderBy("column", "position").collect(),
+        lambda: abbreviations(cats.where(F.col("column").isin(few))).orderBy("column", "position").collect())
+    for r in variants:
+        by_name[r["column"]].case_variants.append(list(r["spellings"]))
+    for r in short:
+        by_name[r["column"]].abbreviations.append([r["short"], r["long"]])
 
 
 # --- numbers and dates -------------------------------------------------------------------

@@ -40,11 +40,6 @@ def long_form(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
     return df.unpivot(list(keep), list(cols), "column", "value")
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the input stays below the bound for one-task steps (checked by counting)."""
-    return df.count() <= small_rows(df.sparkSession)
-
-
 # --- quantiles ---------------------------------------------------------------------------
 
 def quantiles(
@@ -190,19 +185,19 @@ def label_table(spark, labels: Sequence[str], name: str, position: str) -> DataF
 
 # --- ranks -------------------------------------------------------------------------------
 
-def running_totals(values: DataFrame, value: str, counts: Sequence[str]) -> DataFrame:
+def running_totals(values: DataFrame, value: str, counts: Sequence[str], n_values: int) -> DataFrame:
     """Add ``upto_<count>``: the running sum of each count in value order, over distinct values.
 
     Few values fit one window. Otherwise the values are range-partitioned, checkpointed so
     that partition membership is fixed, summed inside their partition and shifted by the
     totals of the partitions before.
     """
-    if is_small(values):
+    if n_values <= small_rows(values.sparkSession):
         w = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
         return values.select("*", *[F.sum(c).over(w).alias(f"upto_{c}") for c in counts])
     parts = checkpointed(
         values.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
-    upto = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     shifts = parts.groupBy("_part").agg(*[F.sum(c).alias(f"in_{c}") for c in counts]).select(
         "_part", *[F.coalesce(F.sum(f"in_{c}").over(upto), F.lit(0)).alias(f"shift_{c}") for c in counts])
     inside = W.partitionBy("_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
@@ -211,39 +206,46 @@ def running_totals(values: DataFrame, value: str, counts: Sequence[str]) -> Data
         *[(F.sum(c).over(inside) + F.col(f"shift_{c}")).alias(f"upto_{c}") for c in counts])
 
 
-def add_ranks(df: DataFrame, value: str, masks: dict[str, str | None]) -> DataFrame:
-    """Add average ranks of ``value``; each mask limits the ranked rows to those where a
-    column is present (None: all rows with a value). ``masks`` maps output name to column.
+def distinct_sizes(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """(distinct values, present rows) of every column, from one job."""
+    sizes = value_counts(df, cols).groupBy("column").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    found = {r["column"]: (r["k"], r["n"]) for r in sizes.collect()}
+    return {c: found.get(c, (0, 0)) for c in cols}
+
+
+def average_ranks(
+    df: DataFrame, value: str, masks: dict[str, str | None], n_values: int,
+) -> DataFrame:
+    """Average ranks per distinct value: (_value, _rows, one column per mask).
 
-    One shuffle reduces the column to its distinct values with one counter per mask; the
-    ranks then travel back to the rows by value.
+    A mask limits the ranked rows to those where another column is present (None: all rows
+    with a value). One shuffle with one counter per mask serves all of them.
     """
-    spark = df.sparkSession
+    names = [f"n_{i}" for i in range(len(masks))]
     counters = [
-        F.count("*" if other is None else f"`{other}`").alias(f"n_{i}")
-        for i, other in enumerate(masks.values())
+        F.count("*" if other is None else f"`{other}`").alias(n)
+        for n, other in zip(names, masks.values())
     ]
-    names = [f"n_{i}" for i in range(len(masks))]
     seen = df.where(F.col(f"`{value}`").isNotNull()).groupBy(F.col(f"`{value}`").alias("_value")).agg(
         F.count("*").alias("_rows"), *counters)
-    ranks = running_totals(seen, "_value", names).select(
+    return running_totals(seen, "_value", names, n_values).select(
         "_value", "_rows",
         *[(F.col(f"upto_{n}") - (F.col(n) - 1) / 2).alias(out) for n, out in zip(names, masks)])
-    return join_by_value(df, value, ranks, "_value", list(masks), spark)
 
 
-def join_by_value(df, value, lookup, key, outs, spark) -> DataFrame:
+def join_by_value(
+    df: DataFrame, value: str, lookup: DataFrame, key: str, outs: Sequence[str], n_keys: int, n_rows: int,
+) -> DataFrame:
     """Left join of rows with a table unique in ``key`` that also counts rows per key (_rows).
 
     A lookup within the checked bound is broadcast. Beyond it, keys holding more than a
     thousandth of the rows (so fewer than a thousand keys) are broadcast, and only the rows
     of other keys are shuffled by key; the rest spread evenly by input partition.
     """
-    n_keys, n_rows = lookup.agg(F.count("*"), F.sum("_rows")).first()
-    if n_keys <= broadcast_rows(spark):
+    if n_keys <= broadcast_rows(df.sparkSession):
         side = F.broadcast(lookup.drop("_rows"))
         return df.join(side, F.col(f"`{value}`") == side[key], "left").drop(key)
-    hot = F.col("_rows") > (n_rows or 0) // 1000
+    hot = F.col("_rows") > n_rows // 1000
     hot_side = F.broadcast(lookup.where(hot).select(
         F.col(key).alias("_hot"), *[F.col(f"`{o}`").alias(f"_hot_{o}") for o in outs]))
     cold_side = lookup.where(~hot).select(F.col(key).alias("_cold"), F.lit(-1).alias("_cold_salt"),

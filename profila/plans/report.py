@@ -11,6 +11,7 @@ from profila.operators import quality, relate, stats
 from profila.operators.timeseries import TimeSeries, timeseries
 from profila.plans import defaults
 from profila.plans.findings import findings
+from profila.session import together
 from profila.sources.cleaned import preview
 
 
@@ -24,52 +25,64 @@ def build_report(ds: Dataset) -> dict[str, DataFrame]:
     are settled here; the row-level table is cached while the report is built."""
     ds.table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _build(ds)
+        ds.table.count()
+        out: dict[str, DataFrame] = {
+            "schema": ds.schema_table(), "type_counts": defaults.type_counts(ds),
+            "quality_columns": quality.per_column(ds), "issues": quality.issues(ds), "charts": defaults.charts(ds),
+        }
+        if ds.load_report is not None:
+            out["load"] = ds.load_report
+        for tables in together(*_sections(ds)):
+            out |= tables
+        pairs = [(r["a"], r["b"]) for r in out["pearson_pairs"].collect()] if "pearson_pairs" in out else []
+        out["defaults"] = defaults.defaults(ds, pairs)
+        out["sections"] = defaults.sections(
+            ds, "pearson_pairs" in out, "outliers" in out and not out["outliers"].isEmpty())
+        out["findings"] = settled(findings(ds, out))
+        return out
     finally:
         ds.table.unpersist()
 
 
-def _build(ds: Dataset) -> dict[str, DataFrame]:
-    table, spark = ds.table, ds.spark
-    numeric = ds.names(NUMERIC)
-    out: dict[str, DataFrame] = {
-        "schema": ds.schema_table(), "type_counts": defaults.type_counts(ds),
-        "preview": settled(preview(ds)), "quality": quality.overview(ds),
-        "quality_columns": quality.per_column(ds), "issues": quality.issues(ds),
-        "charts": defaults.charts(ds),
-    }
-    if ds.load_report is not None:
-        out["load"] = ds.load_report
-    pairs: list[tuple[str, str]] = []
+def _sections(ds: Dataset) -> list:
+    """Independent parts of the report as tasks returning named tables."""
+    table, numeric, groups = ds.table, ds.names(NUMERIC), defaults.category_columns(ds)
+
+    def one(name: str, build) -> object:
+        return lambda: {name: settled(build())}
+
+    tasks = [one("quality", lambda: quality.overview(ds)), one("preview", lambda: preview(ds))]
+    if defaults.date_column(ds):
+        tasks.append(lambda: _default_series(ds))
     if numeric:
-        out["statistics"] = settled(stats.describe(table, numeric))
-        out["histograms"] = settled(stats.histograms(table, numeric))
-        out["boxes"] = settled(stats.box_stats(table, numeric))
-        out["outliers"] = settled(stats.outlier_table(table, numeric))
-        out["outlier_extremes"] = settled(stats.outlier_extremes(table, numeric, ROW))
-        for method in (relate.pearson, relate.spearman):
-            found = method(table, numeric)
-            if found:
-                found.pairs = settled(found.pairs)
-                out[f"{found.method}_matrix"] = found.matrix()
-                out[f"{found.method}_pairs"] = settled(found.ranked())
-        if "pearson_pairs" in out:
-            pairs = [(r["a"], r["b"]) for r in out["pearson_pairs"].collect()]
-    groups = defaults.category_columns(ds)
+        tasks += [
+            lambda: _correlation(relate.spearman, ds), lambda: _correlation(relate.pearson, ds),
+            one("histograms", lambda: stats.histograms(table, numeric)),
+            one("statistics", lambda: stats.describe(table, numeric)),
+            one("outliers", lambda: stats.outlier_table(table, numeric)),
+            one("outlier_extremes", lambda: stats.outlier_extremes(table, numeric, ROW)),
+            one("boxes", lambda: stats.box_stats(table, numeric)),
+        ]
     if groups:
-        out["categories"] = settled(stats.category_summary(table, groups))
-        out["category_bars"] = settled(stats.category_bars(table, groups))
-    date = defaults.date_column(ds)
-    if date:
-        value, agg = defaults.measure(ds)
-        try:
-            out.update(series_tables(timeseries(table, date, value, agg)))
-        except ValueError as problem:
-            out["series_error"] = spark.createDataFrame([(str(problem),)], "error string")
-    out["defaults"] = defaults.defaults(ds, pairs)
-    out["sections"] = defaults.sections(ds, "pearson_pairs" in out, bool(numeric) and not out["outliers"].isEmpty())
-    out["findings"] = settled(findings(ds, out))
-    return out
+        tasks += [one("categories", lambda: stats.category_summary(table, groups)),
+                  one("category_bars", lambda: stats.category_bars(table, groups))]
+    return tasks
+
+
+def _correlation(method, ds: Dataset) -> dict[str, DataFrame]:
+    found = method(ds.table, ds.names(NUMERIC))
+    if not found:
+        return {}
+    found.pairs = settled(found.pairs)
+    return {f"{found.method}_matrix": found.matrix(), f"{found.method}_pairs": settled(found.ranked())}
+
+
+def _default_series(ds: Dataset) -> dict[str, DataFrame]:
+    value, agg = defaults.measure(ds)
+    try:
+        return series_tables(timeseries(ds.table, defaults.date_column(ds), value, agg))
+    except ValueError as problem:
+        return {"series_error": ds.spark.createDataFrame([(str(problem),)], "error string")}
 
 
 def series_tables(ts: TimeSeries) -> dict[str, DataFrame]:
@@ -78,8 +91,8 @@ def series_tables(ts: TimeSeries) -> dict[str, DataFrame]:
         F.lit(ts.date).alias("date"), F.lit(ts.value).alias("value"), F.lit(ts.agg).alias("agg"),
         F.lit(ts.freq).alias("freq"), F.lit(ts.freq_label).alias("freq_label"),
         F.lit(ts.ma_label).alias("ma_label"), "*")
-    return {
-        "series_summary": settled(named), "series_points": settled(ts.points()),
-        "series_anomalies": settled(ts.anomalies()), "series_month": settled(ts.season_month()),
-        "series_weekday": settled(ts.season_weekday()), "series_hour": settled(ts.season_hour()),
+    build = {
+        "series_summary": lambda: named, "series_points": ts.points, "series_anomalies": ts.anomalies,
+        "series_month": ts.season_month, "series_weekday": ts.season_weekday, "series_hour": ts.season_hour,
     }
+    return dict(zip(build, together(*[lambda b=b: settled(b()) for b in build.values()])))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Row counts up to which a step may run as one plain aggregate or one-partition window.
@@ -61,3 +64,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name for a written table below the shared folder."""
     return os.path.join(shared_folder(spark), "profila", f"{name}-{uuid.uuid4().hex}")
+
+
+def together(*tasks: Callable[[], object]) -> list:
+    """Results of independent tasks, submitted to Spark at the same time.
+
+    Small jobs then share the cluster instead of waiting for each other's last task.
+    """
+    if len(tasks) < 2:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(min(8, len(tasks))) as pool:
+        return list(pool.map(inheritable_thread_target(lambda t: t()), tasks))
