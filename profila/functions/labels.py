@@ -71,9 +71,3 @@ def association(v: Column) -> Column:
         F.when(v.isNull(), None).when(v < 0.1, "negligible").when(v < 0.3, "weak")
         .when(v < 0.5, "moderate").otherwise("strong")
     )
-
-
-def short_number(c: Column) -> Column:
-    """Two decimals, none from 1000 up, thousands separators; null is "n/a"."""
-    return F.when(c.isNull(), "n/a").when(
-        F.abs(c) >= 1000, F.format_string("%,.0f", c)).otherwise(F.format_string("%,.2f", c))

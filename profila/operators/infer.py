@@ -76,6 +76,7 @@ def infer(
         _typed(raw, c, f"`{c.name}`", formats, decimal_comma, c.name in native).alias(c.name)
         for c in columns.values()])
     together(
+        raw.sparkSession,
         lambda: _profile_numbers(typed, [c for c in columns.values() if c.type == NUMERIC], native),
         lambda: _profile_dates(typed, [c for c in columns.values() if c.type == DATETIME], native))
     for c in columns.values():
@@ -168,6 +169,7 @@ def _profile_strings(distinct: DataFrame, columns: list[Column], decimal_comma:
             if share[c.name] >= 0.5 and c.type in (CATEGORICAL, TEXT):
                 c.notes.append(NOTE_MIXED.format(share[c.name] * 100))
     together(
+        distinct.sparkSession,
         lambda: _add_samples(distinct, seen), lambda: _add_invalid(distinct, seen, formats, decimal_comma),
         lambda: _add_spellings(distinct, {c.name: c for c in seen if c.type == CATEGORICAL}))
     return formats
@@ -213,6 +215,7 @@ def _add_invalid(distinct, columns: list[Column], formats, decimal_comma) -> Non
         return
     bad = unreadable(distinct, numeric, formats, decimal_comma)
     counts, shown = together(
+        distinct.sparkSession,
         lambda: bad.groupBy("column").agg(F.sum("n").alias("n")).collect(),
         lambda: first_values(bad).orderBy("column", "_nth").collect())
     for r in counts:
@@ -253,6 +256,7 @@ def _add_spellings(distinct, by_name: dict[str, Column]) -> None:
     cats = distinct.where(F.col("column").isin(list(by_name)))
     few = [n for n, c in by_name.items() if c.unique <= ABBREVIATION_LEVELS]
     variants, short = together(
+        distinct.sparkSession,
         lambda: case_variants(cats).orderBy("column", "position").collect(),
         lambda: abbreviations(cats.where(F.col("column").isin(few))).orderBy("column", "position").collect())
     for r in variants:

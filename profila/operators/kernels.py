@@ -40,6 +40,11 @@ def long_form(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
     return df.unpivot(list(keep), list(cols), "column", "value")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A bounded metric table computed once; later reads scan its few rows, not the data."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 # --- quantiles ---------------------------------------------------------------------------
 
 def quantiles(

@@ -60,9 +60,17 @@ class Correlation:
         ).orderBy(F.desc(F.abs("r")), "i", "j").limit(limit).drop("i", "j")
 
 
-def eligible(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], dict[str, int], bool]:
-    """Columns with at least 3 values that vary; the 25 most complete if there are more."""
-    stats = {r["column"]: r for r in moments(df, cols).select("column", "count", "missing", "std").collect()} if cols else {}
+def eligible(
+    df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None,
+) -> tuple[list[str], dict[str, int], bool]:
+    """Columns with at least 3 values that vary; the 25 most complete if there are more.
+
+    Also the missing cells of each, and whether columns were left out.
+    """
+    if not cols:
+        return [], {}, False
+    measured = (profile or moments(df, cols)).select("column", "count", "missing", "std").collect()
+    stats = {r["column"]: r for r in measured}
     usable = [c for c in cols if stats[c]["count"] >= MIN_PAIR_ROWS and (stats[c]["std"] or 0) > 0]
     truncated = len(usable) > MAX_COLUMNS
     if truncated:
@@ -99,9 +107,9 @@ def _pair_table(df: DataFrame, cols: Sequence[str], sides) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def pearson(df: DataFrame, cols: Sequence[str]) -> Correlation | None:
+def pearson(df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None) -> Correlation | None:
     """Linear correlation over pairwise complete rows."""
-    usable, gaps, truncated = eligible(df, cols)
+    usable, gaps, truncated = eligible(df, cols, profile)
     if len(usable) < 2:
         return None
     pairs = _pair_table(
@@ -109,9 +117,9 @@ def pearson(df: DataFrame, cols: Sequence[str]) -> Correlation | None:
     return Correlation("pearson", usable, truncated, pairs)
 
 
-def spearman(df: DataFrame, cols: Sequence[str]) -> Correlation | None:
+def spearman(df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None) -> Correlation | None:
     """Rank correlation; ranks are average ranks among the complete rows of each pair."""
-    usable, gaps, truncated = eligible(df, cols)
+    usable, gaps, truncated = eligible(df, cols, profile)
     if len(usable) < 2:
         return None
     ranked, sides = _ranked(numbers(df, usable), usable, gaps)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from profila.functions.labels import skew_label
 from profila.operators.kernels import (
-    first_rows, labelled, long_form, numbers, quantiles, sample_rows, value_counts,
+    first_rows, labelled, long_form, numbers, quantiles, sample_rows, settled, value_counts,
 )
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -49,15 +49,18 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"),
         F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"),
         skewness(v).alias("skewness"), kurtosis(v).alias("kurtosis"),
-        F.count_if(F.col(v) == 0).alias("zeros"), F.count_if(F.col(v) < 0).alias("negatives"))
+        F.count_if(F.col(v) == 0).alias("zeros"), F.count_if(F.col(v) < 0).alias("negatives"),
+        F.bool_and(F.col(v) % 1 == 0).alias("whole"))
 
 
-def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row of descriptive statistics per numeric column."""
-    spark = df.sparkSession
+def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """All statistics of the numeric columns, one settled row each.
+
+    The other operators of this module take it as ``profile`` instead of measuring again.
+    """
     cells = long_form(numbers(df, cols), cols).where("value is not null")
     base = moments(df, cols)
-    known = base.collect()  # one row per column
+    known = base.collect()
     sizes = [{"column": m["column"], "n": m["count"], "lo": m["min"], "hi": m["max"]} for m in known]
     spread = quantiles(cells, ["column"], "value", PROBS, sizes).select(
         "column", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p5", "q1", "median", "q3", "p95"))])
@@ -68,8 +71,9 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             F.max(F.struct("n", (-F.col("value")).alias("neg"))).alias("top"))
     )
     mean, std = F.col("mean"), F.col("std")
-    return (
-        spark.createDataFrame(known, base.schema)
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    return settled(
+        df.sparkSession.createDataFrame(known, base.schema)
         .join(F.broadcast(shapes), "column", "left").join(F.broadcast(spread), "column", "left")
         .select(
             "column", "count", "missing", "mean", "median",
@@ -81,10 +85,16 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             "skewness", "kurtosis", skew_label(F.col("skewness")).alias("skew_label"),
             F.when(mean != 0, std / F.abs(mean) * 100).alias("cv_pct"),
             "zeros", "negatives", F.coalesce("unique", F.lit(0)).alias("unique"), "sum",
+            (F.col("q1") - reach).alias("lower_bound"), (F.col("q3") + reach).alias("upper_bound"), "whole",
         )
     )
 
 
+def describe(df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None) -> DataFrame:
+    """One row of descriptive statistics per numeric column."""
+    return (profile or numeric_profile(df, cols)).drop("lower_bound", "upper_bound", "whole")
+
+
 # --- histograms --------------------------------------------------------------------------
 
 def bin_count(n: int, low: float, high: float, q1: float, q3: float) -> int:
@@ -94,41 +104,29 @@ def bin_count(n: int, low: float, high: float, q1: float, q3: float) -> int:
     return min(max(bins, 10), 60)
 
 
-def histograms(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def histograms(df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None) -> DataFrame:
     """(column, kind, bin, left, right, center, count), one row per bar.
 
     Few whole values give one bar each. Otherwise equal bins cover the range, the last one
     closed on the right; empty bins are kept.
     """
     spark = df.sparkSession
-    cells = long_form(numbers(df, cols), cols).where("value is not null")
-    # Up to 26 distinct values per column decide the kind: enough to see "more than 25".
-    few = first_rows(cells.select("column", "value").distinct(), 26, ["column"], [F.col("value")])
-    kinds = {
-        r["column"]: r["n"] == 1 or (r["n"] <= 25 and r["whole"])
-        for r in few.groupBy("column").agg(
-            F.count("*").alias("n"), F.bool_and(F.col("value") % 1 == 0).alias("whole")).collect()
-    }
-    discrete = [c for c in cols if kinds.get(c)]
-    binned = [c for c in cols if kinds.get(c) is False]
+    known = [r for r in (profile or numeric_profile(df, cols)).collect() if r["count"]]
+    discrete = [r["column"] for r in known if r["unique"] == 1 or (r["unique"] <= 25 and r["whole"])]
+    plan = [(r["column"], r["min"], r["max"], bin_count(r["count"], r["min"], r["max"], r["q1"], r["q3"]))
+            for r in known if r["column"] not in discrete]
     parts = []
     if discrete:
         bars = value_counts(numbers(df, discrete), discrete)
-        at = F.row_number().over(W.partitionBy("column").orderBy("value")) - 1
+        at = F.row_number().over(W.partitionBy("column").orderBy("value")) - 1  # at most 25 per column
         parts.append(bars.select(
             "column", F.lit("discrete").alias("kind"), at.alias("bin"),
             F.col("value").alias("left"), F.col("value").alias("right"),
             F.col("value").alias("center"), F.col("n").alias("count")))
-    if binned:
-        own = cells.where(F.col("column").isin(binned))
-        stats = own.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        spread = quantiles(own, ["column"], "value", (0.25, 0.75))
-        plan = [
-            (r["column"], r["lo"], r["hi"], bin_count(r["n"], r["lo"], r["hi"], r["q"][0], r["q"][1]))
-            for r in stats.join(F.broadcast(spread), "column").collect()
-        ]
-        bounds = spark.createDataFrame(plan, "column string, lo double, hi double, bins int")
-        parts.append(_binned(own, bounds))
+    if plan:
+        binned = [p[0] for p in plan]
+        cells = long_form(numbers(df, binned), binned).where("value is not null")
+        parts.append(_binned(cells, spark.createDataFrame(plan, "column string, lo double, hi double, bins int")))
     if not parts:
         return spark.createDataFrame(
             [], "column string, kind string, bin int, left double, right double, center double, count long")
@@ -159,8 +157,12 @@ def _binned(cells: DataFrame, bounds: DataFrame) -> DataFrame:
 
 # --- fences, boxes, outliers -------------------------------------------------------------
 
-def fences(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def fences(df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None) -> DataFrame:
     """Per column: n, mean, std, quartiles and the 1.5 IQR fences. As small as the column list."""
+    if profile is not None:
+        return profile.select(
+            "column", F.col("count").alias("n"), "mean", "std", "q1", "median", "q3",
+            F.col("lower_bound").alias("lo"), F.col("upper_bound").alias("hi")).where("n > 0")
     cells = long_form(numbers(df, cols), cols).where("value is not null")
     base = cells.groupBy("column").agg(
         F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
@@ -169,37 +171,64 @@ def fences(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     q = quantiles(cells, ["column"], "value", (0.25, 0.5, 0.75), known).select(
         "column", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return (
+    return settled(
         df.sparkSession.createDataFrame(known, base.schema).select("column", "n", "mean", "std")
         .join(F.broadcast(q), "column")
-        .withColumns({"lo": F.col("q1") - reach, "hi": F.col("q3") + reach})
-    )
+        .withColumns({"lo": F.col("q1") - reach, "hi": F.col("q3") + reach}))
 
 
-def _outside() -> Column:
-    return (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
+def _flagged(df: DataFrame, cols: Sequence[str], bounds: DataFrame, *keep: str) -> DataFrame:
+    """Present cells with their fences and whether either rule calls them outliers."""
+    v = F.col("value")
+    far = F.coalesce(
+        (F.col("std") > 0) & (F.abs(v - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)) > 3), F.lit(False))
+    cells = long_form(numbers(df, cols, *keep), cols, *keep).where("value is not null")
+    return cells.join(F.broadcast(bounds), "column").withColumns(
+        {"by_iqr": (v < F.col("lo")) | (v > F.col("hi")), "by_z": far})
 
 
-def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Quartiles, mean, whiskers (extreme values inside the fences) and the outlier count."""
-    cells = long_form(numbers(df, cols), cols).where("value is not null")
-    bounds = fences(df, cols)
-    inside = F.when(~_outside(), F.col("value"))
-    return cells.join(F.broadcast(bounds), "column").groupBy("column").agg(
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.first("mean").alias("mean"),
+def spread_table(df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None) -> DataFrame:
+    """Box-plot figures and outlier counts of every column from one pass over the cells."""
+    n = F.count("*")
+    iqr, z = F.count_if("by_iqr"), F.count_if("by_z")
+    inside = F.when(~F.col("by_iqr"), F.col("value"))
+    return _flagged(df, cols, fences(df, cols, profile)).groupBy("column").agg(
+        n.alias("count"), *[F.first(c).alias(c) for c in ("q1", "median", "q3", "mean", "lo", "hi")],
         F.coalesce(F.min(inside), F.first("q1")).alias("lowerfence"),
         F.coalesce(F.max(inside), F.first("q3")).alias("upperfence"),
-        F.count_if(_outside()).alias("outlier_count"),
-    )
+        iqr.alias("iqr_count"), (iqr / n * 100).alias("iqr_pct"),
+        z.alias("z_count"), (z / n * 100).alias("z_pct"),
+        F.count_if(F.col("by_iqr") & F.col("by_z")).alias("both_count"))
+
+
+def box_stats(df: DataFrame, cols: Sequence[str], spread: DataFrame | None = None) -> DataFrame:
+    """Quartiles, mean, whiskers (extreme values inside the fences) and the outlier count."""
+    return (spread or spread_table(df, cols)).select(
+        "column", "q1", "median", "q3", "mean", "lowerfence", "upperfence",
+        F.col("iqr_count").alias("outlier_count"))
+
+
+def outlier_table(df: DataFrame, cols: Sequence[str], spread: DataFrame | None = None) -> DataFrame:
+    """Counts and shares of values outside the fences, beyond 3 standard deviations, and both."""
+    return (spread or spread_table(df, cols)).where(F.col("count") >= 4).select(
+        "column", "count", F.col("lo").alias("lower_bound"), F.col("hi").alias("upper_bound"),
+        "iqr_count", "iqr_pct", "z_count", "z_pct", "both_count")
+
+
+def outlier_extremes(
+    df: DataFrame, cols: Sequence[str], row: str, n: int = 5, profile: DataFrame | None = None,
+) -> DataFrame:
+    """The flagged values farthest from the median of their column, with row numbers."""
+    bounds = fences(df, cols, profile).where("n >= 4")
+    flagged = _flagged(df, cols, bounds, row).where(F.col("by_iqr") | F.col("by_z"))
+    ranked = first_rows(
+        flagged, n, ["column"], [F.abs(F.col("value") - F.col("median")).desc(), F.col(row)])
+    return ranked.select("column", F.col("_nth").alias("position"), F.col(row).alias("row"), "value")
 
 
 def box_points(df: DataFrame, col: str, row: str, limit: int = BOX_POINTS) -> DataFrame:
     """Outliers to draw: all, or the 5 lowest, the 5 highest and a fixed sample of the rest."""
-    bounds = fences(df, [col])
-    cells = long_form(numbers(df, [col], row), [col], row).where("value is not null")
-    out = cells.join(F.broadcast(bounds.select("column", "lo", "hi")), "column").where(
-        _outside()).select("column", row, "value")
+    out = _flagged(df, [col], fences(df, [col]), row).where("by_iqr").select("column", row, "value")
     total = out.count()
     if total <= limit:
         return out
@@ -210,35 +239,6 @@ def box_points(df: DataFrame, col: str, row: str, limit: int = BOX_POINTS) -> Da
     return ends.unionByName(sample_rows(rest, limit - 10, total - 10, [row]).select(*out.columns))
 
 
-def _flagged(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
-    cells = long_form(numbers(df, cols, *keep), cols, *keep).where("value is not null")
-    far = F.coalesce(
-        (F.col("std") > 0) & (F.abs(F.col("value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)) > 3),
-        F.lit(False))
-    return cells.join(F.broadcast(fences(df, cols).where("n >= 4")), "column").withColumns(
-        {"by_iqr": _outside(), "by_z": far})
-
-
-def outlier_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Counts and shares of values outside the fences, beyond 3 standard deviations, and both."""
-    n = F.count("*")
-    iqr, z = F.count_if("by_iqr"), F.count_if("by_z")
-    return _flagged(df, cols).groupBy("column").agg(
-        n.alias("count"), F.first("lo").alias("lower_bound"), F.first("hi").alias("upper_bound"),
-        iqr.alias("iqr_count"), (iqr / n * 100).alias("iqr_pct"),
-        z.alias("z_count"), (z / n * 100).alias("z_pct"),
-        F.count_if(F.col("by_iqr") & F.col("by_z")).alias("both_count"),
-    )
-
-
-def outlier_extremes(df: DataFrame, cols: Sequence[str], row: str, n: int = 5) -> DataFrame:
-    """The flagged values farthest from the median of their column, with row numbers."""
-    flagged = _flagged(df, cols, row).where(F.col("by_iqr") | F.col("by_z"))
-    ranked = first_rows(
-        flagged, n, ["column"], [F.abs(F.col("value") - F.col("median")).desc(), F.col(row)])
-    return ranked.select("column", F.col("_nth").alias("position"), F.col(row).alias("row"), "value")
-
-
 # --- categories --------------------------------------------------------------------------
 
 def label_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:

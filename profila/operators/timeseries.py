@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from profila.operators.kernels import number, quantiles
+from profila.operators.kernels import number, quantiles, settled
 
 AGGREGATES = ("sum", "mean", "median", "min", "max", "count")
 MAX_PERIODS = 5000
@@ -81,16 +82,21 @@ class TimeSeries:
         return spine.join(filled, "period", "left").select(
             "period", value.alias("value"), F.coalesce("count", F.lit(0)).alias("count"))
 
+    @cached_property
+    def periods(self) -> DataFrame:
+        """The resampled series, settled: points, summary and anomalies share one scan."""
+        return settled(self.resample())
+
     def points(self) -> DataFrame:
         """(period, value, ma, count): the series with its trailing moving average."""
         trailing = W.orderBy("period").rowsBetween(-(self.window - 1), 0)  # periods only
-        return self.resample().select(
+        return self.periods.select(
             "period", "value", F.avg("value").over(trailing).alias("ma"), "count")
 
     def summary(self) -> DataFrame:
         """One row: extent, gaps, peak, low, average and trend."""
         nth = F.row_number().over(W.partitionBy(F.col("value").isNull()).orderBy("period")) - 1
-        pts = self.resample().withColumn("at", F.when(F.col("value").isNotNull(), nth))
+        pts = self.periods.withColumn("at", F.when(F.col("value").isNotNull(), nth))
         early = -F.datediff("period", F.lit("1970-01-01"))
         present = F.col("value").isNotNull()
         n, mean = F.col("periods_with_data"), F.col("average")
@@ -137,7 +143,7 @@ class TimeSeries:
         size = F.size(near)
         middle = (F.get(near, F.floor((size - 1) / 2).cast("int")) + F.get(near, F.floor(size / 2).cast("int"))) / 2
         resid = (
-            self.resample().where("value is not null")
+            self.periods.where("value is not null")
             .select("period", "value", F.when(size >= 3, middle).alias("expected"),
                     F.count("*").over(whole).alias("n"))
             .where("n >= 8").withColumn("resid", F.col("value") - F.col("expected")))

@@ -394,12 +394,12 @@ def compare_overview(spark, d):
 # --- report ------------------------------------------------------------------------------
 
 def findings(spark, d):
-    return build_report(inputs.orders_text(spark, d))["findings"].drop("seq", "sub")
+    return build_report(inputs.orders_text(spark, d))["findings"]
 
 
 def findings_events(spark, d):
     ev = table(spark, d, "events").withColumn(ROW, F.col("event_id")).drop("props")
-    return build_report(profile_table("events", ev))["findings"].drop("seq", "sub")
+    return build_report(profile_table("events", ev))["findings"]
 
 
 def report_statistics(spark, d):

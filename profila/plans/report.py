@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from profila.model import NUMERIC, ROW, Dataset
 from profila.operators import quality, relate, stats
+from profila.operators.kernels import settled
 from profila.operators.timeseries import TimeSeries, timeseries
 from profila.plans import defaults
 from profila.plans.findings import findings
@@ -15,11 +16,6 @@ from profila.session import together
 from profila.sources.cleaned import preview
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Compute a bounded metric table once; later reads scan its rows, not the data."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
 def build_report(ds: Dataset) -> dict[str, DataFrame]:
     """Run the whole programme. Metric tables are bounded by columns, labels and periods and
     are settled here; the row-level table is cached while the report is built."""
@@ -32,13 +28,13 @@ def build_report(ds: Dataset) -> dict[str, DataFrame]:
         }
         if ds.load_report is not None:
             out["load"] = ds.load_report
-        for tables in together(*_sections(ds)):
+        for tables in together(ds.spark, *_sections(ds)):
             out |= tables
         pairs = [(r["a"], r["b"]) for r in out["pearson_pairs"].collect()] if "pearson_pairs" in out else []
         out["defaults"] = defaults.defaults(ds, pairs)
         out["sections"] = defaults.sections(
             ds, "pearson_pairs" in out, "outliers" in out and not out["outliers"].isEmpty())
-        out["findings"] = settled(findings(ds, out))
+        out["findings"] = findings(ds, out)
         return out
     finally:
         ds.table.unpersist()
@@ -46,31 +42,41 @@ def build_report(ds: Dataset) -> dict[str, DataFrame]:
 
 def _sections(ds: Dataset) -> list:
     """Independent parts of the report as tasks returning named tables."""
-    table, numeric, groups = ds.table, ds.names(NUMERIC), defaults.category_columns(ds)
-
-    def one(name: str, build) -> object:
-        return lambda: {name: settled(build())}
-
-    tasks = [one("quality", lambda: quality.overview(ds)), one("preview", lambda: preview(ds))]
+    table, groups = ds.table, defaults.category_columns(ds)
+    tasks = [
+        lambda: {"quality": settled(quality.overview(ds))}, lambda: {"preview": settled(preview(ds))}]
+    if ds.names(NUMERIC):
+        tasks.append(lambda: _numeric(ds))
     if defaults.date_column(ds):
         tasks.append(lambda: _default_series(ds))
-    if numeric:
-        tasks += [
-            lambda: _correlation(relate.spearman, ds), lambda: _correlation(relate.pearson, ds),
-            one("histograms", lambda: stats.histograms(table, numeric)),
-            one("statistics", lambda: stats.describe(table, numeric)),
-            one("outliers", lambda: stats.outlier_table(table, numeric)),
-            one("outlier_extremes", lambda: stats.outlier_extremes(table, numeric, ROW)),
-            one("boxes", lambda: stats.box_stats(table, numeric)),
-        ]
     if groups:
-        tasks += [one("categories", lambda: stats.category_summary(table, groups)),
-                  one("category_bars", lambda: stats.category_bars(table, groups))]
+        tasks += [lambda: {"categories": settled(stats.category_summary(table, groups))},
+                  lambda: {"category_bars": settled(stats.category_bars(table, groups))}]
     return tasks
 
 
-def _correlation(method, ds: Dataset) -> dict[str, DataFrame]:
-    found = method(ds.table, ds.names(NUMERIC))
+def _numeric(ds: Dataset) -> dict[str, DataFrame]:
+    """Everything that builds on the numeric profile, which is measured once."""
+    table, cols = ds.table, ds.names(NUMERIC)
+    profile = stats.numeric_profile(table, cols)
+    out = {"statistics": stats.describe(table, cols, profile)}
+
+    def spread() -> dict[str, DataFrame]:
+        one = settled(stats.spread_table(table, cols, profile))
+        return {"boxes": stats.box_stats(table, cols, one), "outliers": stats.outlier_table(table, cols, one)}
+
+    for tables in together(
+        ds.spark,
+        lambda: _correlation(relate.spearman, ds, profile), lambda: _correlation(relate.pearson, ds, profile),
+        lambda: {"histograms": settled(stats.histograms(table, cols, profile))}, spread,
+        lambda: {"outlier_extremes": settled(stats.outlier_extremes(table, cols, ROW, profile=profile))},
+    ):
+        out |= tables
+    return out
+
+
+def _correlation(method, ds: Dataset, profile: DataFrame) -> dict[str, DataFrame]:
+    found = method(ds.table, ds.names(NUMERIC), profile)
     if not found:
         return {}
     found.pairs = settled(found.pairs)
@@ -91,8 +97,9 @@ def series_tables(ts: TimeSeries) -> dict[str, DataFrame]:
         F.lit(ts.date).alias("date"), F.lit(ts.value).alias("value"), F.lit(ts.agg).alias("agg"),
         F.lit(ts.freq).alias("freq"), F.lit(ts.freq_label).alias("freq_label"),
         F.lit(ts.ma_label).alias("ma_label"), "*")
+    ts.periods  # settled before the tasks share it
     build = {
         "series_summary": lambda: named, "series_points": ts.points, "series_anomalies": ts.anomalies,
         "series_month": ts.season_month, "series_weekday": ts.season_weekday, "series_hour": ts.season_hour,
     }
-    return dict(zip(build, together(*[lambda b=b: settled(b()) for b in build.values()])))
+    return dict(zip(build, together(ts.frame.sparkSession, *[lambda b=b: settled(b()) for b in build.values()])))

@@ -66,12 +66,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), "profila", f"{name}-{uuid.uuid4().hex}")
 
 
-def together(*tasks: Callable[[], object]) -> list:
+def together(spark: SparkSession, *tasks: Callable[[], object]) -> list:
     """Results of independent tasks, submitted to Spark at the same time.
 
     Small jobs then share the cluster instead of waiting for each other's last task.
     """
     if len(tasks) < 2:
         return [t() for t in tasks]
+    run = inheritable_thread_target(spark)(lambda t: t())
     with ThreadPoolExecutor(min(8, len(tasks))) as pool:
-        return list(pool.map(inheritable_thread_target(lambda t: t()), tasks))
+        return list(pool.map(run, tasks))
