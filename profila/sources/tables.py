@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from profila.model import ROW, Dataset
 from profila.operators.infer import infer
@@ -31,16 +33,26 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     located = rows.select("*", F.col("_metadata.file_path").alias("_file"),
                           F.col("_metadata.row_index").alias("_at"))
     files = located.groupBy("_file").agg(F.count("*").alias("n"))
-    return _shift(located, files, ["_file"], F.col("_at") + 1).select(ROW, *rows.columns)
+    return place_rows(located, files, ["_file"], F.col("_at") + 1).select(ROW, *rows.columns)
 
 
-def _shift(located: DataFrame, blocks: DataFrame, keys: list[str], inside) -> DataFrame:
-    """Add ``_row``: position inside the file block plus the sizes of the blocks before."""
-    before = F.sum("n").over(W.orderBy(*keys)) - F.col("n")  # one row per file block
-    starts = blocks.withColumn("_before", before).drop("n")
-    if blocks.count() <= broadcast_rows(located.sparkSession):
-        starts = F.broadcast(starts)
-    return located.join(starts, keys).withColumn(ROW, F.col("_before") + inside)
+def place_rows(located: DataFrame, blocks: DataFrame, keys: list[str], inside: Column) -> DataFrame:
+    """Add ``_row``: the place inside a file block plus the sizes of the blocks before.
+
+    ``blocks`` has one row per block (keys, n, ...). Up to the broadcast bound the starts
+    are summed on the driver; beyond it Spark joins them like any table.
+    """
+    spark = located.sparkSession
+    bound = broadcast_rows(spark)
+    known = blocks.limit(bound + 1).collect()
+    if len(known) <= bound:
+        known.sort(key=lambda r: tuple(r[k] for k in keys))
+        starts = itertools.accumulate((r["n"] for r in known), initial=0)
+        schema = T.StructType([*blocks.schema.fields, T.StructField("_before", T.LongType())])
+        table = F.broadcast(spark.createDataFrame([(*r, s) for r, s in zip(known, starts)], schema))
+    else:
+        table = blocks.withColumn("_before", F.sum("n").over(W.orderBy(*keys)) - F.col("n"))
+    return located.join(table.drop("n"), keys).withColumn(ROW, F.col("_before") + inside)
 
 
 def load_parquet(spark: SparkSession, path: str, name: str | None = None) -> Dataset:
