@@ -79,6 +79,11 @@ def eligible(
     return usable, {c: stats[c]["missing"] for c in usable}, truncated
 
 
+def _clipped(r):
+    """Keep rounding errors inside [-1, 1]; null stays null (least and greatest would skip it)."""
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def _coefficient(x: str, y: str, gaps: bool):
     """Pearson's r over complete pairs; undefined instead of an error without variation."""
     n = F.count(F.when(F.col(x).isNotNull(), F.col(y)))
@@ -87,7 +92,7 @@ def _coefficient(x: str, y: str, gaps: bool):
         r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(px) * F.stddev_samp(py))
     else:
         r = F.corr(x, y)
-    return F.when(n >= MIN_PAIR_ROWS, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))), n
+    return F.when(n >= MIN_PAIR_ROWS, _clipped(r)), n
 
 
 def _pair_table(df: DataFrame, cols: Sequence[str], sides) -> DataFrame:
@@ -174,7 +179,7 @@ def scatter_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     at = lambda v: F.col("k") * F.col(v) + F.col("c")
     return one.select(
         "x", "y", "n", F.bround("r", 4).alias("pearson"),
-        F.bround(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "rho")), 4).alias("spearman"),
+        F.bround(_clipped(F.col("rho")), 4).alias("spearman"),
         F.bround(F.col("r") * F.col("r"), 4).alias("r_squared"),
         F.bround("k", 6).alias("slope"), F.bround("c", 6).alias("intercept"), "p_value",
         strength(F.col("r")).alias("strength"),
