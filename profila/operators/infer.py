@@ -64,7 +64,7 @@ def infer(
     formats: dict[str, str] = {}
     if strings:
         distinct = value_counts(raw.select(ROW, *[f"`{c}`" for c in strings]), strings, first=ROW)
-        distinct = distinct.persist(StorageLevel.DISK_ONLY)
+        distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             formats = _profile_strings(distinct, [columns[c] for c in strings], decimal_comma)
         finally:
@@ -294,7 +294,7 @@ def _profile_numbers(typed: DataFrame, columns: list[Column], native) -> None:
     if not columns:
         return
     names = [c.name for c in columns]
-    distinct = value_counts(numbers(typed, names, ROW), names, first=ROW).persist(StorageLevel.DISK_ONLY)
+    distinct = value_counts(numbers(typed, names, ROW), names, first=ROW).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         metrics = {r["column"]: r for r in number_metrics(distinct).collect()}
         consecutive = {

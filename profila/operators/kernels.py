@@ -197,7 +197,7 @@ def running_totals(values: DataFrame, value: str, counts: Sequence[str], n_value
     that partition membership is fixed, summed inside their partition and shifted by the
     totals of the partitions before.
     """
-    if n_values <= small_rows(values.sparkSession):
+    if n_values <= broadcast_rows(values.sparkSession):
         w = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
         return values.select("*", *[F.sum(c).over(w).alias(f"upto_{c}") for c in counts])
     parts = checkpointed(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Larger inputs take the distributed route; both give the same values.
 SMALL_ROWS = 200_000
 # Largest table the library broadcasts itself, in rows of a few fixed-width fields.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 
 
 def setting(spark: SparkSession, name: str, default: int) -> int:
