@@ -46,12 +46,10 @@ class Correlation:
         """(a, b, r) for every ordered pair, 4 digits; the diagonal is 1."""
         spark = self.pairs.sparkSession
         r = F.bround("r", 4).alias("r")
+        a, b = F.col("a"), F.col("b")
+        both = F.array(F.struct(a.alias("a"), b.alias("b"), r), F.struct(b.alias("a"), a.alias("b"), r))
         diagonal = spark.createDataFrame([(c, c, 1.0) for c in self.columns], "a string, b string, r double")
-        return (
-            self.pairs.select("a", "b", r)
-            .unionByName(self.pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), r))
-            .unionByName(diagonal)
-        )
+        return self.pairs.select(F.inline(both)).unionByName(diagonal)
 
     def ranked(self, limit: int = MAX_PAIRS) -> DataFrame:
         """Strongest pairs first."""

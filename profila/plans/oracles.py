@@ -640,6 +640,55 @@ SELECT analysis, argument, value FROM (VALUES
   ('crosstab', 'a', 'o_orderstatus'), ('crosstab', 'b', 'o_orderpriority'),
   ('scatter_matrix', 'column_1', 'o_custkey'), ('scatter_matrix', 'column_2', 'o_totalprice')) t(analysis, argument, value)"""
 
+BOX_OUTLIERS = f"""WITH {_fences('value')}
+SELECT 'value' AS "column", event_id, v AS value FROM x WHERE iqr"""
+
+SCATTER_ALL = f"""
+SELECT coalesce(event_type, '(missing)') AS "group", count(*)::BIGINT AS n, round(sum(user_id)::DOUBLE, 2) AS sum_x, round(sum(value), 2) AS sum_y
+FROM ({EVENTS_GAPS}) WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY 1"""
+MATRIX_ALL = f"""
+SELECT count(*)::BIGINT AS n, round(sum(qty), 1) AS qty, round(sum(net), 1) AS net, round(sum(falling), 1) AS falling
+FROM ({RELATED_GAPS}) WHERE qty IS NOT NULL AND net IS NOT NULL AND falling IS NOT NULL"""
+
+SECTION_FLAGS = """
+SELECT section, available FROM (SELECT count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM orders),
+  (VALUES ('statistics', true), ('distributions', true), ('categories', s > 0), ('correlation', true),
+    ('multivariate', true), ('crosstab', s > 0 AND p > 0), ('timeseries', true), ('outliers', true)) t(section, available)"""
+
+CHART_PLAN = """
+SELECT c AS "column", k AS chart FROM (SELECT count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM orders),
+  (VALUES ('o_custkey', 'histogram', 0), ('o_custkey', 'box', 0), ('o_totalprice', 'histogram', 0), ('o_totalprice', 'box', 0),
+    ('o_orderstatus', 'bar', 0), ('o_orderpriority', 'bar', 0), ('o_orderstatus', 'pie', s), ('o_orderpriority', 'pie', p),
+    ('o_orderdate', 'line', 0), ('o_custkey', 'heatmap', 0), ('o_totalprice', 'heatmap', 0)) t(c, k, levels)
+WHERE k <> 'pie' OR levels BETWEEN 2 AND 8"""
+
+
+def _findings_orders() -> str:
+    """The sentences about orders: no gaps, no copies, weak correlation, a monthly series."""
+    odd = _anomalies(_ORDERS_DV, "M", "sum", 2)
+    short = "CASE WHEN abs({0}) >= 1000 THEN format('{{:,.0f}}', {0}) ELSE format('{{:,.2f}}', {0}) END"
+    series = f"""(WITH {_periods(_ORDERS_DV, 'M', 'sum')}, {_trend()},
+m AS (SELECT month(period) AS position, avg(value) AS value FROM s GROUP BY 1 ORDER BY value DESC, position LIMIT 1),
+a AS (SELECT count(*) AS odd FROM ({odd}))
+SELECT 'Monthly total of o_totalprice over o_orderdate is ' ||
+  CASE WHEN abs(rel) < 5 THEN 'roughly flat' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END ||
+  ' from ' || (SELECT strftime(min(d), '%Y-%m-%d') || ' to ' || strftime(max(d), '%Y-%m-%d') FROM src) ||
+  '. The highest period begins ' || strftime(peak, '%Y-%m-%d') || ' (' || {short.format('pv')} || ').' ||
+  ' On average, ' || {_MONTHS}[m.position] || ' is the highest calendar month.' ||
+  CASE WHEN odd > 0 THEN ' ' || odd::VARCHAR || ' period(s) stand out from the surrounding trend.' ELSE '' END FROM z, m, a)"""
+    pair = """(SELECT 'No strong linear relationships were found; the largest is o_custkey and o_totalprice (r = ' ||
+  format('{:.3f}', corr(o_custkey, o_totalprice)) || ').' FROM orders)"""
+    overview = """(SELECT format('{:,}', count(*)) || ' rows and 6 columns were analysed: 2 numeric, 2 categorical, 1 date/time, 1 ID.' FROM orders)"""
+    rows = [
+        ("Overview", "info", overview), ("Data quality", "good", "'No missing values were found.'"),
+        ("Data quality", "good", "'No duplicate rows were found.'"), ("Relationships", "info", pair),
+        ("Outliers", "good", "'No values fall outside the IQR fences in any numeric column.'"),
+        ("Time series", "info", series),
+        ("Columns", "info", "'Treated as identifiers and left out of statistics: o_orderkey.'")]
+    return union(f"SELECT {i}::INT AS seq, '{area}' AS area, '{level}' AS level, {text} AS text"
+                 for i, (area, level, text) in enumerate(rows, 1))
+
+
 PARQUET_ROWS = """
 SELECT (file_row_number + 1)::BIGINT AS _row, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
 FROM (SELECT *, row_number() OVER () - 1 AS file_row_number FROM orders)"""
@@ -677,6 +726,8 @@ ORACLES: dict[str, str] = {
     "ts_season_hour": _season_hour("mean"), "ts_season_hour_median": _season_hour("median"),
     "compare_schema": _compare_schema(), "compare_numeric": COMPARE_NUMERIC,
     "compare_categorical": union(map(_compare_categorical, ("o_orderstatus", "o_orderpriority"))),
+    "box_outliers_all": BOX_OUTLIERS, "scatter_all_colored": SCATTER_ALL, "scatter_matrix_all": MATRIX_ALL,
+    "section_flags": SECTION_FLAGS, "chart_plan": CHART_PLAN, "findings_orders": _findings_orders(),
     "compare_overview": COMPARE_OVERVIEW, "report_defaults": REPORT_DEFAULTS,
 }
 ORACLES |= {f"pivot_{agg}": _pivot1(_ORDERS_RC, agg) for agg in AGG}

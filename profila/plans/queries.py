@@ -180,6 +180,11 @@ def box_outlier_points(spark, d):
     return stats.box_points(table(spark, d, "events"), "value", "event_id")
 
 
+def box_outliers_all(spark, d):
+    """Every outlier, as a box plot shows them while they are few."""
+    return stats.box_points(table(spark, d, "events"), "value", "event_id", limit=2 ** 62)
+
+
 def outlier_table(spark, d):
     return rounded(stats.outlier_table(table(spark, d, "events"), ["value", "user_id"]), 4)
 
@@ -271,6 +276,19 @@ def scatter_points(spark, d):
         table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"])
 
 
+def scatter_all_colored(spark, d):
+    """All points, as a scatter plot shows them while they are few."""
+    points = relate.scatter_points(
+        inputs.events_gaps(spark, d), "user_id", "value", ["event_id"], "event_type", limit=2 ** 62)
+    return points.groupBy("group").agg(
+        F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("sum_x"), F.round(F.sum("y"), 2).alias("sum_y"))
+
+
+def scatter_matrix_all(spark, d):
+    rows = relate.scatter_matrix(inputs.related(spark, d, gaps=True), ["qty", "net", "falling"], ["l_orderkey", "l_linenumber"], limit=2 ** 62)
+    return rows.agg(F.count("*").alias("n"), *[F.round(F.sum(c), 1).alias(c) for c in rows.columns])
+
+
 def scatter_colored(spark, d):
     return relate.scatter_points(inputs.events_gaps(spark, d), "user_id", "value", ["event_id"], "event_type")
 
@@ -397,6 +415,10 @@ def findings(spark, d):
     return build_report(inputs.orders_text(spark, d))["findings"]
 
 
+def findings_orders(spark, d):
+    return build_report(inputs.orders(spark, d))["findings"]
+
+
 def findings_events(spark, d):
     ev = table(spark, d, "events").withColumn(ROW, F.col("event_id")).drop("props")
     return build_report(profile_table("events", ev))["findings"]
@@ -425,17 +447,17 @@ QUERIES: dict[str, Query] = {
         parquet_rows, csv_rows, csv_profile, csv_load_report, csv_cleaned, preview50,
         schema_profile, schema_examples, type_counts, numeric_parse, date_parse, date_vote, identifier_flags,
         text_kinds, case_variants, abbreviations, sample_values,
-        describe_lineitem, describe_events_gaps, hist_discrete, hist_binned, box_stats, box_outlier_points,
+        describe_lineitem, describe_events_gaps, hist_discrete, hist_binned, box_stats, box_outlier_points, box_outliers_all,
         outlier_table, outlier_extremes, value_counts, category_bars, category_summary, top_n_other,
         quality_overview, quality_columns, quality_issues, duplicate_rows, repeated_ids, dedupe_rows,
         corr_pearson, corr_pearson_gaps, corr_pairs, corr_spearman, corr_spearman_gaps,
-        scatter_fit, scatter_points, scatter_colored, scatter_matrix,
+        scatter_fit, scatter_points, scatter_colored, scatter_matrix, scatter_all_colored, scatter_matrix_all,
         pivot_2way, pivot_2way_median, pivot_2way_other, pivot_missing_label,
         crosstab_counts, crosstab_other, crosstab_chi2, crosstab_chi2_other,
         ts_gaps, ts_gaps_count, ts_summary, ts_trend, ts_anomalies, ts_anomalies_daily,
         ts_season_month, ts_season_weekday, ts_season_hour, ts_season_hour_median,
         compare_schema, compare_numeric, compare_categorical, compare_overview,
-        findings, findings_events, report_statistics, report_defaults, section_flags, chart_plan,
+        findings, findings_orders, findings_events, report_statistics, report_defaults, section_flags, chart_plan,
     )
 }
 QUERIES |= {f"pivot_{agg}": _pivot(agg) for agg in relate.AGGREGATES}
