@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from profila.functions.labels import OTHER, label, value_text
 from profila.functions.text import finite
-from profila.model import ROW
 from profila.session import broadcast_rows, checkpointed, setting, small_rows
 
 QUANTILE_BUCKETS = 4096     # histogram cells per refinement step
@@ -292,9 +291,3 @@ def first_rows(df: DataFrame, n: int, by: Sequence[str], order: Sequence[Column]
     """First n rows per group; Spark drops the surplus before and after the shuffle."""
     w = W.partitionBy(*by).orderBy(*order)
     return df.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n)
-
-
-def row_column(df: DataFrame) -> str:
-    if ROW not in df.columns:
-        raise ValueError(f"The table needs its row number in {ROW}; see sources.tables.")
-    return ROW

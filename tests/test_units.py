@@ -11,7 +11,7 @@ from profila.functions import text
 from profila.functions.tails import chi2_p, pearson_p
 from profila.operators import compare, infer, quality, relate, stats
 from profila.operators.timeseries import auto_frequency, timeseries
-from profila.plans import defaults
+from profila.plans import defaults, views
 
 
 def column(spark, values, kind="string"):
@@ -258,6 +258,31 @@ def test_roles(spark):
         ds.require("nope", "the X axis", "numeric")
 
 
+def test_views_check_their_arguments(spark):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), "xy"[i % 2], i % 3, 1.5 * i) for i in range(30)]
+    ds = profile_table("t", spark.createDataFrame(rows, "_row long, day timestamp_ntz, g string, q int, v double"))
+    fit, points = views.scatter(ds, "q", "v", "g")
+    assert fit.first()["n"] == 30 and points.count() == 30
+    assert views.scatter_matrix(ds, ["q", "v"]).count() == 30
+    assert views.pivot(ds, "q", "g").count() == 6
+    assert views.crosstab(ds, "g", "q").test().first()["dof"] == 2
+    assert views.timeseries(ds, "day", "v").points().count() == 30
+    for call, words in (
+        (lambda: views.scatter(ds, "g", "v"), "'g' cannot be used as the X axis"),
+        (lambda: views.scatter(ds, "v", "v"), "two different columns for X and Y"),
+        (lambda: views.scatter(ds, "q", "v", "v"), "'v' cannot be used as a colour group"),
+        (lambda: views.scatter_matrix(ds, ["v", "day"]), "'day' cannot be used as a scatter-matrix column"),
+        (lambda: views.pivot(ds, "v"), "'v' cannot be used as pivot rows"),
+        (lambda: views.pivot(ds, "g", "g"), "different columns for rows and columns"),
+        (lambda: views.crosstab(ds, "g", "g"), "two different columns"),
+        (lambda: views.timeseries(ds, "v"), "'v' cannot be used as a date column"),
+        (lambda: views.timeseries(ds, "day", "g"), "'g' cannot be used as a time-series value"),
+        (lambda: views.pivot(ds, "nope"), "Column 'nope' does not exist"),
+    ):
+        with pytest.raises(ValueError, match=words):
+            call()
+
+
 def test_default_measure(spark):
     df = spark.createDataFrame([(i, i * 1.5, i * 2.5, i * 3.5) for i in range(30)], "_row long, height double, unit_cost double, Sales double")
     assert defaults.measure(profile_table("t", df)) == ("Sales", "sum")
