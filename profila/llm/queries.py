@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profila.llm import mixing, packing
+from profila.llm import langid, mixing, packing
 from profila.llm.common import table
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs.where(~langid.held_out()).where("doc_id is not null"))
+    return langid.identify(docs, model).withColumn("held_out", langid.held_out())
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -24,6 +30,7 @@ def op8_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op8_pack": op8_pack,
 }
