@@ -146,3 +146,23 @@ def mix(
         .withColumn("copies", F.col("rounds") + (rank <= F.col("quota")).cast("int")))
     columns = ["doc_id", "size", "source", "source_size", "target", "copies"]
     return chosen.select(columns).unionByName(sizes.where("size = 0").withColumn("copies", F.lit(0)).select(columns))
+
+
+def mixed_rows(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Rows meet their counts by id and a hash of text and source; rows equal in all of these share the
+    largest count among them.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("none")), F.xxhash64(id_col, text_col, source_col))
+    keyed = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    taken = settled(
+        mix(keyed, weights, max_repeats, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+        .select(F.col("doc_id").alias("key"), "copies"), "mix-taken")
+    columns = [F.col(f"row.`{c}`") for c in docs.columns]
+    return (
+        docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(taken, "key")
+        .select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*columns))

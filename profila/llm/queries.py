@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profila.llm import langid, mixing, packing
+from profila.llm import langid, mixing, neardup, packing, secrets
 from profila.llm.common import table
 
 
@@ -17,11 +17,27 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", langid.held_out())
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), words=2)
+
+
 def op8_pack(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"))
     return pieces.select(
@@ -31,7 +47,9 @@ def op8_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op5_secrets": op5_secrets,
     "op6_mix_sources": op6_mix_sources,
+    "op7_near_dedup": op7_near_dedup,
     "op8_pack": op8_pack,
 }
 
