@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profila.llm import langid, mixing, neardup, packing, secrets
+from profila.llm import ann, hamming, langid, mixing, neardup, packing, repeats, secrets, tokencount
 from profila.llm.common import table
 
 
@@ -17,6 +17,15 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", langid.held_out())
 
 
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), "vec_id % 50 = 0")
+
+
+def op4_hamming(spark: SparkSession, folder: str) -> DataFrame:
+    codes = table(spark, folder, "embeddings").select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.nearest_codes(codes, codes.where("vec_id % 100 = 0"))
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.train(docs))
@@ -45,12 +54,25 @@ def op8_pack(spark: SparkSession, folder: str) -> DataFrame:
         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, folder, "documents"))
+
+
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    left = repeats.without_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_nearest": op3_nearest,
+    "op4_hamming": op4_hamming,
     "op5_secrets": op5_secrets,
     "op6_mix_sources": op6_mix_sources,
     "op7_near_dedup": op7_near_dedup,
     "op8_pack": op8_pack,
+    "op9_token_counts": op9_token_counts,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLES: dict[str, str] = {}

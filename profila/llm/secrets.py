@@ -106,23 +106,29 @@ def train(
     counts = (
         labelled.where("length(value) > 1").select("random", F.explode(_pairs(F.col("value"))).alias("pair"))
         .groupBy("random", "pair").count().collect())
-    table = [[0.5] * (size * size) for _ in range(2)]
+    table = [[0.0] * (size * size) for _ in range(2)]
     for r in counts:
         table[r["random"]][r["pair"]] += r["count"]
     return _ratios(table, size)
 
 
-def _ratios(table: list[list[float]], size: int) -> list[float]:
-    """Log of P(next | char) under the random model over that under the identifier model."""
+def _model(counts: list[float], size: int, weight: float = 4.0) -> list[float]:
+    """P(next | char) from pair counts; rare characters lean on the frequency of the next one."""
+    total = sum(counts)
+    after = [(sum(counts[i::size]) + 0.5) / (total + 0.5 * size) for i in range(size)]
     out = []
     for row in range(size):
-        cells = slice(row * size, (row + 1) * size)
-        odd, plain = table[1][cells], table[0][cells]
-        total = log(sum(plain) / sum(odd))
-        out += [round(log(a / b) + total, 6) for a, b in zip(odd, plain)]
+        cells = counts[row * size : (row + 1) * size]
+        out += [(n + weight * f) / (sum(cells) + weight) for n, f in zip(cells, after)]
     return out
 
 
+def _ratios(table: list[list[float]], size: int) -> list[float]:
+    """Log of P(next | char) under the random model over that under the identifier model."""
+    plain, odd = (_model(counts, size) for counts in table)
+    return [round(log(a / b), 6) for a, b in zip(odd, plain)]
+
+
 def _ratio(value: Column, model: list[float]) -> Column:
     scores = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
     return F.aggregate(_pairs(value), F.lit(0.0), lambda s, p: s + F.get(scores, p))
