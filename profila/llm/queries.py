@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profila.llm import ann, hamming, langid, mixing, neardup, packing, repeats, secrets, tokencount
+from profila.llm import ann, hamming, langid, licenses, mixing, neardup, packing, repeats, secrets, tokencount
 from profila.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.train(docs.where(~langid.held_out()).where("doc_id is not null"))
@@ -64,6 +68,7 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_language_id": op2_language_id,
     "op3_nearest": op3_nearest,
     "op4_hamming": op4_hamming,
