@@ -174,12 +174,14 @@ def masked(docs: DataFrame, mask: str = MASK, text_col: str = "text", length_col
         lambda s: F.concat(s["out"], F.call_function("substring", text, s["at"] + 1, F.length(text))))
     changed = F.size("_spans") > 0
     found = scan(docs, train(docs)).withColumnRenamed("spans", "_spans")
+    # The one-row explode keeps the optimiser from building the text again for its length.
+    found = found.select("*", F.explode(F.array(F.when(changed, clean).otherwise(text))).alias("_text"))
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(F.when(changed, clean).otherwise(text).alias(c))
+            columns.append(F.col("_text").alias(c))
         elif c == length_col:
-            columns.append(F.when(changed, F.length(clean)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(changed, F.length("_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(c))
     return found.select(columns)
