@@ -1,17 +1,20 @@
-"""Remove long byte strings that occur more than once in the corpus.
+"""Remove long byte strings that occur more than once in the corpus, by suffix arrays of shards.
 
-Every window of ``length`` bytes is assigned to its smallest 32-byte gram (the anchor); neighbouring
-windows with one anchor form a segment. Equal windows have equal anchors at equal offsets, so only
-segments that share an anchor are compared. A segment that occurs twice is repeated as a whole; where
-an anchor has several segments, one copy of each is opened into its windows, and these are counted
-by (anchor, offset, hash). Counts are combined before each shuffle; no group is gathered, except the
-findings of one text for that text.
+Only text that can repeat reaches a suffix array. Every window of ``length`` bytes is assigned to its
+smallest 32-byte gram (the anchor); neighbouring windows with one anchor form a segment. Equal
+windows have equal anchors at equal offsets, so only segments that share an anchor are compared. A
+segment that occurs twice is repeated as a whole. Where an anchor has several segments, one copy of
+each goes to the anchor's shard; there a suffix array of the segments is built by induced sorting,
+and a window is repeated if its permuted common prefix with a neighbour covers it.
 
-This replaces the suffix array with induced sorting, see README.
+An anchor with more than ``BLOCK`` segments is dealt over several shards. Each finds what repeats
+within it; of every group of equal windows one is then counted over the shards, by anchor and 64-bit
+hash, and the windows that were alone in their shard get the answer. Counts are combined before each
+shuffle; no group is gathered, except the findings of one text for that text.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; equal rows repeat each
-other; an empty table gives an empty result; other columns are ignored. Windows are compared by the
-anchor, the offset and 64-bit hashes.
+other; an empty table gives an empty result; other columns are ignored. Segments that occur as a
+whole are compared by the anchor and a 64-bit hash of their content, others byte by byte.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +30,14 @@ from pyspark.sql.types import ArrayType, LongType
 
 from profila.llm.common import settled
 from profila.llm.shingles import PLACE, mixed
+from profila.llm.suffixes import common_prefixes, joined, suffix_array
 
 LENGTH = 200
 GRAM = 32
 PIECE = 1 << 22
+# Most segments of one anchor in one shard, and the bytes of segments per shard (on average).
+BLOCK = 1024
+SHARD = 1 << 19
 
 _LOW = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(77).integers(0, 1 << 64, 256, np.uint64)
@@ -109,29 +117,60 @@ def _sketch(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _windows(opened: DataFrame, length: int) -> DataFrame:
-    """Rows (anchor, offset, hash) of every window of the segments listed beside a text."""
+def _opened(texts: DataFrame, length: int) -> DataFrame:
+    """The bytes of the segments listed beside a text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+                raw = (text or "").encode("utf-8", "surrogatepass")
                 for at in range(0, len(listed), 4096):
-                    part = sorted(listed, key=lambda s: s["start"])[at : at + 4096]
-                    anchor, offset, content, start, count = (
-                        np.array([s[k] for s in part], np.int64) for k in ("anchor", "offset", "content", "start", "windows"))
-                    within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                    low = int(start.min())
-                    hashes = Hashes(raw[low : int((start + count).max()) + length - 1])
-                    found = hashes.of(np.repeat(start - low, count) + within, length)
-                    yield pa.RecordBatch.from_pydict({
-                        "anchor": np.repeat(anchor, count), "content": np.repeat(content, count), "within": within,
-                        "offset": np.repeat(offset, count) - within, "hash": found.view(np.int64),
-                        "copies": np.repeat(np.array([s["copies"] for s in part], np.int64), count)})
-
-    return opened.mapInArrow(run, "anchor long, content long, within long, offset long, hash long, copies long")
-
-
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    part = pd.DataFrame(listed[at : at + 4096])
+                    part["raw"] = [raw[i : i + n + length - 1] for i, n in zip(part["start"], part["windows"])]
+                    yield pa.RecordBatch.from_pandas(part.drop(columns=["start", "windows"]), preserve_index=False)
+
+    return texts.mapInArrow(run, "anchor long, content long, copies long, block long, blocks long, raw binary")
+
+
+def repeated_in_shard(shard: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Runs of repeated windows per segment, and what other shards of its anchor must hear of.
+
+    ``hash`` is null for runs; else it is that of one window: of several equal ones (``alone`` is
+    false) or of one that is alone here.
+    """
+    shard = shard.sort_values(["anchor", "content"], ignore_index=True)
+    text, begin = joined(shard["raw"].tolist())
+    sizes = shard["raw"].map(len).to_numpy()
+    order = suffix_array(text)
+    segment = np.repeat(np.arange(len(shard)), sizes + 1)
+    within = np.arange(len(segment)) - begin[segment]
+    is_window = np.append(within <= (sizes - length)[segment], False)
+    follows = np.concatenate(([False], common_prefixes(text, order) >= length, [False]))
+    several = np.zeros(len(text), bool)
+    several[order] = follows[:-1] | follows[1:]
+    several[:-1] |= (shard["copies"].to_numpy() > 1)[segment]
+    several &= is_window
+    first = np.flatnonzero(several & ~np.concatenate(([False], several[:-1])))
+    last = np.flatnonzero(several & ~np.append(several[1:], False))
+    runs = pd.DataFrame({"at": first, "windows": last - first + 1, "hash": pd.array([None] * len(first), "Int64"), "alone": False})
+    # One of each group of equal windows, where the anchor has other shards.
+    heads = order[~follows[:-1]]
+    heads = np.sort(heads[is_window[heads]])
+    heads = heads[(shard["blocks"].to_numpy() > 1)[segment[heads]]]
+    raw = np.frombuffer(b"\0".join(shard["raw"].tolist()), np.uint8)
+    hashes = Hashes(raw).of(heads, length).view(np.int64)
+    told = pd.DataFrame({"at": heads, "windows": 1, "hash": pd.array(hashes, "Int64"), "alone": ~several[heads]})
+    out = pd.concat([runs, told], ignore_index=True)
+    own = segment[out["at"].to_numpy(np.int64)]
+    return pd.DataFrame({
+        "anchor": shard["anchor"].to_numpy()[own], "content": shard["content"].to_numpy()[own],
+        "block": shard["block"].to_numpy()[own], "within": within[out["at"].to_numpy(np.int64)],
+        "windows": out["windows"], "hash": out["hash"], "alone": out["alone"]})
+
+
+def without_repeats(
+    docs: DataFrame, length: int = LENGTH, block: int = BLOCK, shard_bytes: int = SHARD,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept (binary: the remaining bytes)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     docs = docs.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "mark"))
@@ -146,21 +185,28 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     whole = rows.where("not several").select("key", "start", "windows")
     kinds = settled(
         rows.where("several").groupBy("anchor", "content").agg(
-            F.count("*").alias("copies"), F.min(F.struct("key", "start", "windows", "offset")).alias("r"))
+            F.count("*").alias("copies"), F.min(F.struct("key", "start", "windows")).alias("r"))
         .select("anchor", "content", "copies", "r.*"), "repeats-kinds")
+    blocks = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    kinds = kinds.join(blocks, "anchor").withColumn("block", F.pmod("content", "blocks"))
     opened = kinds.groupBy("key").agg(
-        F.collect_list(F.struct("anchor", "offset", "content", "start", "windows", "copies")).alias("listed"))
-    texts = docs.select("key", "text").join(kinds.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    windows = settled(_windows(texts.join(opened, "key").select("text", "listed"), length), "repeats-windows")
-    seen = (
-        windows.groupBy("anchor", "offset", "hash").agg(F.sum("copies").alias("n")).where("n > 1"))
-    seen = settled(seen.select("anchor", "offset", "hash"), "repeats-seen")
-    again = (
-        windows.join(seen, ["anchor", "offset", "hash"]).groupBy("anchor", "content")
-        .agg(F.sort_array(F.collect_set("within")).alias("within")))
-    parts = rows.where("several").join(settled(again, "repeats-parts"), ["anchor", "content"]).select(
-        "key", F.explode("within").alias("w"), "start").select("key", (F.col("start") + F.col("w")).alias("start"),
-                                                               F.lit(1).cast("long").alias("windows"))
+        F.collect_list(F.struct("anchor", "content", "copies", "block", "blocks", "start", "windows")).alias("listed"))
+    texts = docs.select("key", "text").join(opened.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    held = settled(_opened(texts.join(opened, "key").select("text", "listed"), length), "repeats-opened")
+    size = held.agg(F.sum(F.length("raw"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("anchor", "block"), F.lit(size // shard_bytes + 1))
+    heard = settled(
+        held.groupBy(shard.alias("shard")).applyInPandas(
+            lambda part: repeated_in_shard(part, length),
+            "anchor long, content long, block long, within long, windows long, hash long, alone boolean"), "repeats-heard")
+    told = heard.where("hash is not null")
+    met = told.groupBy("anchor", "hash").agg((F.min("block") < F.max("block")).alias("met")).where("met").drop("met")
+    columns = ["anchor", "content", "within", "windows"]
+    again = settled(
+        heard.where("hash is null").select(columns)
+        .unionByName(told.where("alone").join(met, ["anchor", "hash"], "left_semi").select(columns)), "repeats-again")
+    parts = rows.where("several").drop("windows").join(again, ["anchor", "content"]).select(
+        "key", (F.col("start") + F.col("within")).alias("start"), "windows")
     found = (
         whole.unionByName(parts).groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias("found")))
 

@@ -2,11 +2,31 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from profila.llm import ann, hamming, repeats, tokencount
+from profila.llm.suffixes import common_prefixes, joined, suffix_array
 
 
-def test_repeats_equal_brute_force(spark, monkeypatch):
+def test_suffix_array_and_prefixes_equal_plain_sorting():
+    r = random.Random(4)
+    for i in range(120):
+        parts = [bytes(r.choice(b"ab" if i % 2 else b"abcdxyz") for _ in range(r.randint(1, 30))) for _ in range(r.randint(1, 12))]
+        text, _ = joined(parts + parts[: i % 3] + [b"a" * (i % 50)])
+        plain = text.tolist()
+        want = sorted(range(len(plain)), key=lambda at: plain[at:])
+        order = suffix_array(text)
+        assert order.tolist() == want
+        for got, (one, two) in zip(common_prefixes(text, order).tolist(), zip(want, want[1:])):
+            n = 0
+            while plain[one + n] == plain[two + n] > 1:
+                n += 1
+            assert got == n
+    assert suffix_array(joined([])[0]).tolist() == [0]
+
+
+@pytest.mark.parametrize("block, shard_bytes", [(repeats.BLOCK, repeats.SHARD), (1, 500), (2, 1 << 19)])
+def test_repeats_equal_brute_force(spark, block, shard_bytes):
     r = random.Random(5)
     phrase = "".join(r.choice("abcdé ") for _ in range(400))
     texts = [None, "", "x" * 700, phrase, "head " + phrase + " tail", phrase[100:330] + "end", phrase[:199], "q" * 50 + phrase[90:310]]
@@ -15,7 +35,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     raw = {i: (t or "").encode() for i, t in enumerate(texts)}
     seen = Counter(b[p : p + 200] for b in raw.values() for p in range(len(b) - 199))
-    out = repeats.without_repeats(docs).collect()
+    out = repeats.without_repeats(docs, block=block, shard_bytes=shard_bytes).collect()
     assert len(out) == len(rows)
     for x in out:
         b = raw[x.doc_id]
