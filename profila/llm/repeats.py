@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -119,14 +120,18 @@ def _sketch(docs: DataFrame, length: int) -> DataFrame:
 
 def _opened(texts: DataFrame, length: int) -> DataFrame:
     """The bytes of the segments listed beside a text."""
+    names = ["anchor", "content", "copies", "block", "blocks"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for at in range(0, len(listed), 4096):
-                    part = pd.DataFrame(listed[at : at + 4096])
-                    part["raw"] = [raw[i : i + n + length - 1] for i, n in zip(part["start"], part["windows"])]
-                    yield pa.RecordBatch.from_pandas(part.drop(columns=["start", "windows"]), preserve_index=False)
+            listed = b.column(1).flatten()
+            start, windows = (listed.field(c).to_pylist() for c in ("start", "windows"))
+            cut, at = [], 0
+            for text, n in zip(b.column(0), pa.compute.list_value_length(b.column(1)).to_pylist()):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                cut += [raw[i : i + w + length - 1] for i, w in zip(start[at : at + n], windows[at : at + n])]
+                at += n
+            yield pa.RecordBatch.from_arrays([*(listed.field(c) for c in names), pa.array(cut, pa.binary())], [*names, "raw"])
 
     return texts.mapInArrow(run, "anchor long, content long, copies long, block long, blocks long, raw binary")
 
