@@ -128,7 +128,8 @@ def train(
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array(langs, pa.string()), "at": pa.array(where, pa.binary()), "n": pa.array(counts, pa.binary())})
 
-    drawn = labelled.join(bounds, "lang").where(place < F.col("bound")).select("lang", "text")
+    # One row per language, counted above; without the broadcast every text would be shuffled by language.
+    drawn = labelled.join(F.broadcast(bounds), "lang").where(place < F.col("bound")).select("lang", "text")
     rows = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in drawn.mapInArrow(sparse, "lang string, at binary, n binary").collect())
     if not rows:
         return empty
