@@ -1,33 +1,40 @@
-"""Licence scan: MinHash bands over overlapping windows find templates, shingle containment verifies.
+"""Licence scan: every five-word shingle of the texts is looked up in the licence templates; a whole template verifies.
 
-Words are runs of a-z and 0-9 in the lower-cased text. Templates are cut into passages of at most 16
-words. Windows of 8, 16 and 32 words overlap by half, so every passage of up to half a window and
-one word lies wholly in one. 64 bands of one hash find a passage of which 80 % is in such a window
-(Jaccard at least 1/6) with probability above 0.99999; a find counts if the window holds at least
-``containment`` of the passage's five-word shingles (a passage has at least one).
+Words are runs of a-z and 0-9 in the lower-cased text. Templates are notices of one sentence and whole
+licence texts, of any length; the list is a parameter. A template is found if some stretch as long as
+it holds at least ``containment`` of its distinct shingles. The share is taken over the whole template,
+never over a part of it. A stretch slides over all positions: a shingle at q whose copy before was at p
+counts for starts from max(p + 1, q - span + 1) to q, so a running sum gives the share at each start.
 
-Only windows with a signal word are hashed. Signal words are chosen so that a window without any of
-them lacks more of every passage's shingles than may be missing; that loses no find.
+Templates that differ little: if another licence's template holds so many of a template's shingles that
+it would pass for it, one shingle that it lacks must be in the stretch; and in a notice one shingle with
+all its numbers (the version) must be, so version 2 is not taken for version 3.
+
+Only texts with a signal word are cut. Signal words are chosen so that a text without any of them lacks
+more of every template's shingles than may be missing; that loses no find.
 
 Defined cases: null and empty text have no find; fewer than five words never match; repeated rows
-and rows with one id give one row per licence; an empty table gives an empty result; other columns
-are ignored. Everything is a column function; nothing of the rows reaches the driver.
+and rows with one id give one row per licence, but rows are judged one by one; an empty table gives an
+empty result; other columns are ignored. Everything is a column function; nothing of the rows reaches
+the driver.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from profila.llm.common import let
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 64
-WINDOWS = (8, 16, 32)
-PASSAGE = 16
+NOTICE = 64  # templates of up to so many words are notices: their numbers are versions
 WORD = "[a-z0-9]+"
 
 # Notices by which licences are stated.
@@ -40,86 +47,120 @@ TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-
-
-def passages(templates: dict[str, str]) -> list[tuple[str, int, list[str]]]:
-    """(licence, part, words): parts of 5 to ``PASSAGE`` words."""
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as "
+        "published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+NOTICES = [
+    ("agpl-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("agpl-3.0", _GNU.format("Affero General Public License", 3)),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("gpl-2.0", _GNU.format("General Public License", 2)),
+    ("gpl-3.0", _GNU.format("General Public License", 3)),
+    ("isc", "Released under the ISC License."),
+    ("lgpl-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("lgpl-2.1", _GNU.format("Lesser General Public License", 2.1)),
+    ("lgpl-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("lgpl-3.0", _GNU.format("Lesser General Public License", 3)),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+]
+
+Templates = dict[str, str] | Sequence[tuple[str, str]]
+
+
+def every_template() -> list[tuple[str, str]]:
+    """(licence, text): the notices and the whole texts kept beside this file, named by licence."""
+    texts = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return [*TEMPLATES.items(), *NOTICES,
+            *((p.name.removesuffix(".txt").removesuffix(".3-clause"), p.read_text("utf-8")) for p in texts)]
+
+
+def passages(templates: Templates) -> list[tuple[str, int, list[str]]]:
+    """(licence, number, words) of each template, whole."""
     out = []
-    for name, text in sorted(templates.items()):
+    for i, (name, text) in enumerate(sorted(templates.items() if isinstance(templates, dict) else templates)):
         words = re.findall(WORD, text.lower())
-        cuts = -(-len(words) // PASSAGE)
-        for i in range(cuts):
-            part = words[i * len(words) // cuts : (i + 1) * len(words) // cuts]
-            if len(part) < SHINGLE:
-                raise ValueError(f"template {name} has fewer than {SHINGLE} words")
-            out.append((name, i, part))
+        if len(words) < SHINGLE:
+            raise ValueError(f"template {name} has fewer than {SHINGLE} words")
+        out.append((name, i, words))
     return out
 
 
+def _distinct(words: list[str]) -> list[tuple[str, ...]]:
+    return list(dict.fromkeys(tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)))
+
+
 def signal_words(found: list[tuple[str, int, list[str]]], containment: float) -> list[str]:
-    """Words of which every passage's match must hold one: chosen from the most telling (longest) down."""
+    """Words of which every template's match must hold one: chosen words first, then the most telling."""
     chosen: set[str] = set()
     for _, _, words in found:
-        shingles = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
-        for word in sorted(set(words), key=lambda w: (w not in chosen, not w.startswith("licens"), -len(w), w)):
-            free = sum(not chosen & set(s) for s in shingles)
-            if free < containment * len(shingles):
-                break
-            chosen.add(word)
+        free = _distinct(words)
+        most = containment * len(free)
+        while (free := [s for s in free if not chosen & set(s)]) and len(free) >= most:
+            held = Counter(w for s in free for w in set(s))
+            chosen.add(max(held, key=lambda w: (w.startswith("licens"), len(w) >= 8, held[w], w)))
     return sorted(chosen)
 
 
-def _shingles(words: Column) -> Column:
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)),
-        lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(SHINGLE)), " "))))
-
-
-def _bands(shingles: Column, bands: int) -> Column:
-    """The smallest hash of the set under each of ``bands`` seeds."""
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(bands)), lambda seed: F.array_min(F.transform(shingles, lambda s: F.xxhash64(seed, s))))
+def telling(found: list[tuple[str, int, list[str]]], containment: float) -> list[list[set[tuple[str, ...]]]]:
+    """Per template the sets of shingles of each of which a find must hold one."""
+    sets, out = [set(_distinct(words)) for _, _, words in found], []
+    for (name, _, words), own in zip(found, sets):
+        groups = [own - other for (sibling, _, _), other in zip(found, sets)
+                  if sibling != name and len(own & other) >= containment * len(own) and own - other]
+        numbers = {w for w in words if w.isdigit()} if len(words) <= NOTICE else set()
+        versioned = {s for s in own if numbers <= set(s)} if numbers else set()
+        out.append([g for i, g in enumerate([*groups, versioned]) if g and g not in groups[:i]])
+    return out
 
 
-def _windows(words: Column, width: int) -> Column:
-    step = width // 2
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(words) - step, F.lit(0)), F.lit(step)),
-        lambda at: F.struct(at.alias("start"), F.slice(words, at + 1, F.lit(width)).alias("words")))
+def _hashes(words: Column) -> Column:
+    """Per position the hash of the shingle that begins there; null below five words."""
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= SHINGLE, F.transform(
+        F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))))
 
 
 def scan(
-    docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, bands: int = BANDS,
+    docs: DataFrame, templates: Templates | None = None, containment: float = CONTAINMENT,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Per document and licence found: doc_id, license, first_word (of its first window), contained."""
-    known = passages(TEMPLATES if templates is None else templates)
-    if max(len(p[2]) for p in known) > max(WINDOWS) // 2 + 1:
-        raise ValueError("passages are longer than half a window")
-    signal = signal_words(known, containment)
-    units = docs.sparkSession.createDataFrame(known, "license string, part int, words array<string>")
-    units = units.select("license", _shingles(F.col("words")).alias("shingles")).select(
-        "license", "shingles", _bands(F.col("shingles"), bands).alias("bands")).collect()
-    wanted = F.array(*[
-        F.struct(F.lit(u["license"]).alias("license"), F.array(*map(F.lit, u["shingles"])).alias("shingles"),
-                 F.array(*map(F.lit, u["bands"])).alias("bands")) for u in units])
-    signals = F.array(*map(F.lit, signal))
-
-    def windows(words: Column) -> Column:
-        every = F.concat(*[_windows(words, width) for width in WINDOWS])
-        return F.filter(every, lambda w: (F.size(w["words"]) >= SHINGLE) & F.arrays_overlap(w["words"], signals))
+    """Per document and licence found: doc_id, license, first_word (of the first best stretch), contained."""
+    known = passages(every_template() if templates is None else templates)
+    groups = telling(known, containment)
+    most = max(map(len, groups))
+    rows = []
+    for (name, unit, words), wanted in zip(known, groups):
+        shingles = _distinct(words)
+        rows.append((unit, name, len(words) - SHINGLE + 1, len(shingles), len(wanted), [
+            (" ".join(s), [int(g < len(wanted) and s in wanted[g]) for g in range(most)]) for s in shingles]))
+    units = docs.sparkSession.createDataFrame(
+        rows, "unit int, license string, span int, total int, groups int, shingles array<struct<words:string,tells:array<int>>>")
+    units = units.select("unit", "license", "span", "total", "groups", F.explode("shingles").alias("s")).select(
+        "unit", "license", "span", "total", "groups", "s.tells", F.get(_hashes(F.split("s.words", " ")), F.lit(0)).alias("hash"))
 
     likely = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text")).where(
-        F.col("text").rlike("|".join(signal)))
-    held = (
-        likely.select("doc_id", F.explode(let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), windows)).alias("w"))
-        .select("doc_id", "w.start", F.explode(F.array(_shingles(F.col("w.words")))).alias("shingles")))
-    banded = held.select("doc_id", "start", "shingles", F.explode(F.array(_bands(F.col("shingles"), bands))).alias("bands"))
-    retrieved = banded.select(
-        "doc_id", "start", "shingles",
-        F.explode(F.filter(wanted, lambda u: F.arrays_overlap(u["bands"], F.col("bands")))).alias("unit"))
-    share = F.size(F.array_intersect("shingles", "unit.shingles")) / F.size("unit.shingles")
+        F.col("text").rlike("|".join(signal_words(known, containment))))
+    cut = likely.select(
+        "doc_id", F.xxhash64("text").alias("copy"),
+        F.posexplode(_hashes(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("at", "hash"))
+    own = ["doc_id", "copy", "unit"]
+    same = W.partitionBy(*own, "hash").orderBy("at")
+    at, none = F.col("at"), F.array(*[F.lit(0)] * most)
+    met = cut.join(F.broadcast(units), "hash").withColumn("before", F.lag("at").over(same))
+    first = F.greatest(at - F.col("span") + 1, F.coalesce(F.col("before") + 1, F.lit(0)))
+    steps = F.array(
+        F.struct(first.alias("start"), F.lit(1).alias("step"), F.col("tells"), F.lit(False).alias("begins")),
+        F.struct((at + 1).alias("start"), F.lit(-1).alias("step"), F.transform("tells", lambda t: -t).alias("tells"),
+                 F.lit(False).alias("begins")),
+        F.struct(at.alias("start"), F.lit(0).alias("step"), none.alias("tells"), F.lit(True).alias("begins")))
+    # Rows with equal starts are summed together: the frame is a range.
+    sliding = W.partitionBy(*own).orderBy("start").rangeBetween(W.unboundedPreceding, 0)
+    held = met.select(*own, "license", "total", "groups", F.inline(steps)).select(
+        *own, "license", "total", "groups", "start", "begins", F.sum("step").over(sliding).alias("found"),
+        *[F.sum(F.get("tells", F.lit(g))).over(sliding).alias(f"told{g}") for g in range(most)])
+    told = [(F.col("groups") <= g) | (F.col(f"told{g}") > 0) for g in range(most)]
+    best = F.struct(F.col("contained"), (-F.col("start")).alias("later"))
+    for rule in told:
+        held = held.where(rule)
     return (
-        retrieved.select("doc_id", F.col("unit.license").alias("license"), "start", share.alias("contained"))
-        .where(F.col("contained") >= containment).groupBy("doc_id", "license")
-        .agg(F.min("start").cast("long").alias("first_word"), F.max("contained").alias("contained")))
+        held.where("begins").withColumn("contained", F.col("found") / F.col("total")).where(F.col("contained") >= containment)
+        .groupBy("doc_id", "license").agg(F.max(best).alias("best"))
+        .select("doc_id", "license", (-F.col("best.later")).cast("long").alias("first_word"), "best.contained"))
