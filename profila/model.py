@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 ROW = "_row"  # 1-based row number in source order; carried along, never analysed
+EXACT = "_exact:"  # prefix of the source values of numbers that a double cannot tell apart
 
 NUMERIC, DATETIME, CATEGORICAL, TEXT, IDENTIFIER = (
     "numeric", "datetime", "categorical", "text", "identifier",
@@ -75,7 +76,9 @@ COLUMN_SCHEMA = T.StructType([
 class Dataset:
     """A typed table with its column records.
 
-    ``table`` holds doubles, naive timestamps and strings plus ``_row``.
+    ``table`` holds doubles, naive timestamps and strings plus ``_row``. ``whole``, if given, also
+    holds the columns without a profile and the exact values of numbers that may share a double;
+    rows are compared there.
     """
 
     name: str
@@ -83,6 +86,24 @@ class Dataset:
     columns: list[Column]
     rows: int
     load_report: DataFrame | None = None
+    whole: DataFrame | None = None
+
+    @classmethod
+    def split(cls, name: str, whole: DataFrame, columns: list[Column], rows: int, load_report: DataFrame | None = None):
+        """From a whole table: ``table`` is its profiled part."""
+        table = whole.select(ROW, *[f"`{c.name}`" for c in columns])
+        return cls(name, table, columns, rows, load_report, whole)
+
+    @property
+    def compared(self) -> DataFrame:
+        """Where equal rows are equal in the source."""
+        return self.table if self.whole is None else self.whole
+
+    @property
+    def unprofiled(self) -> list[str]:
+        """Nested, binary and other columns that only ``whole`` holds."""
+        known = {ROW, *self.table.columns}
+        return [c for c in self.compared.columns if c not in known and not c.startswith(EXACT)]
 
     @property
     def spark(self) -> SparkSession:

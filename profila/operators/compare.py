@@ -87,7 +87,7 @@ def compare_overview(a: Dataset, b: Dataset) -> DataFrame:
         cells = ds.rows * len(ds.columns)
         missing = sum(c.missing for c in ds.columns)
         return (s, ds.name, ds.rows, len(ds.columns), missing / cells * 100 if cells else 0.0,
-                duplicate_count(ds.table))
+                duplicate_count(ds.compared))
     return a.spark.createDataFrame(
         [side("a", a), side("b", b)],
         "side string, name string, rows long, columns int, missing_pct double, duplicates long")

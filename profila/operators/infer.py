@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from profila.functions import text
 from profila.functions.labels import value_text
-from profila.model import CATEGORICAL, DATETIME, IDENTIFIER, NUMERIC, ROW, TEXT, Column
+from profila.model import CATEGORICAL, DATETIME, EXACT, IDENTIFIER, NUMERIC, ROW, TEXT, Column
 from profila.operators.kernels import first_rows, number, numbers, value_counts
 from profila.session import together
 
@@ -27,6 +27,8 @@ EXAMPLES = 5
 VARIANT_GROUPS = 10
 ABBREVIATIONS = 10
 ABBREVIATION_LEVELS = 50
+EXACT_LIMIT = 1 << 53  # whole numbers below it have doubles of their own
+EXACT_DIGITS = 15      # so have decimals of so many digits
 
 # --- fixed values: notes -----------------------------------------------------------------
 NOTE_SYMBOLS = "Currency or % symbols were removed to read the numbers."
@@ -48,16 +50,18 @@ def is_id_name(name: str) -> bool:
 def infer(
     raw: DataFrame, decimal_comma: bool = False, trimmed: dict[str, int] | None = None,
 ) -> tuple[DataFrame, list[Column], int]:
-    """Typed table (doubles, naive timestamps, strings, ``_row``), column records, row count."""
+    """Whole table (doubles, naive timestamps, strings, ``_row``, then columns without a profile and exact values),
+    column records, row count."""
     fields = [f for f in raw.schema.fields if f.name != ROW]
     native = {f.name: NUMERIC for f in fields if isinstance(f.dataType, T.NumericType)}
     native |= {f.name: DATETIME for f in fields if isinstance(f.dataType, _DATES)}
     strings = [f.name for f in fields
                if f.name not in native and isinstance(f.dataType, (T.StringType, T.BooleanType))]
-    fields = [f for f in fields if f.name in native or f.name in strings]  # nested types have no profile
     raw = raw.select(ROW, *[
         F.col(f"`{f.name}`").cast("string").alias(f.name) if f.name in strings else F.col(f"`{f.name}`")
         for f in fields])
+    others = [f.name for f in fields if f.name not in native and f.name not in strings]  # these have no profile
+    fields = [f for f in fields if f.name in native or f.name in strings]
     rows = raw.count()
 
     columns = {f.name: Column(f.name, i) for i, f in enumerate(fields)}
@@ -72,9 +76,12 @@ def infer(
     for name, kind in native.items():
         columns[name].type = kind
 
-    typed = raw.select(ROW, *[
-        _typed(raw, c, f"`{c.name}`", formats, decimal_comma, c.name in native).alias(c.name)
-        for c in columns.values()])
+    shown = {c.name: _typed(raw, c, f"`{c.name}`", formats, decimal_comma, c.name in native) for c in columns.values()}
+    exact = [(c.name, _exact(raw, c.name, shown[c.name])) for c in columns.values() if c.type == NUMERIC]
+    whole_table = raw.select(
+        ROW, *[value.alias(name) for name, value in shown.items()], *[f"`{o}`" for o in others],
+        *[value.alias(EXACT + name) for name, value in exact if value is not None])
+    typed = whole_table.select(ROW, *[f"`{name}`" for name in shown])
     together(
         raw.sparkSession,
         lambda: _profile_numbers(typed, [c for c in columns.values() if c.type == NUMERIC], native),
@@ -83,7 +90,19 @@ def infer(
         c.missing = rows - c.non_null
         c.missing_pct = c.missing / rows * 100 if rows else 0.0
         c.whitespace_fixed = (trimmed or {}).get(c.name, 0)
-    return typed, list(columns.values()), rows
+    return whole_table, list(columns.values()), rows
+
+
+def _exact(raw: DataFrame, name: str, double: SparkColumn) -> SparkColumn | None:
+    """The source value where other values may share its double, else null; None if that can't be."""
+    c, dtype = F.col(f"`{name}`"), raw.schema[name].dataType
+    if isinstance(dtype, T.LongType):
+        return F.when((c >= EXACT_LIMIT) | (c <= -EXACT_LIMIT), c)
+    if isinstance(dtype, T.DecimalType) and dtype.precision > EXACT_DIGITS:
+        return F.when(~F.coalesce(c.cast("double").try_cast(dtype) == c, F.lit(False)), c)
+    if isinstance(dtype, T.StringType):
+        return F.when(double.isNotNull() & (F.length(F.regexp_replace(c, "[^0-9]", "")) > EXACT_DIGITS), c)
+    return None
 
 
 def _typed(raw, c: Column, quoted: str, formats, decimal_comma, native: bool) -> SparkColumn:

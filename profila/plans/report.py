@@ -19,9 +19,9 @@ from profila.sources.cleaned import preview
 def build_report(ds: Dataset) -> dict[str, DataFrame]:
     """Run the whole programme. Metric tables are bounded by columns, labels and periods and
     are settled here; the row-level table is cached while the report is built."""
-    ds.table.persist(StorageLevel.MEMORY_AND_DISK)
+    ds.compared.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ds.table.count()
+        ds.compared.count()
         out: dict[str, DataFrame] = {
             "schema": ds.schema_table(), "type_counts": defaults.type_counts(ds),
             "quality_columns": quality.per_column(ds), "issues": quality.issues(ds), "charts": defaults.charts(ds),
@@ -37,7 +37,7 @@ def build_report(ds: Dataset) -> dict[str, DataFrame]:
         out["findings"] = findings(ds, out)
         return out
     finally:
-        ds.table.unpersist()
+        ds.compared.unpersist()
 
 
 def _sections(ds: Dataset) -> list:

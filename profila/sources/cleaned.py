@@ -6,18 +6,30 @@ import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from profila.functions.labels import cell_text, value_text
-from profila.model import DATETIME, NUMERIC, ROW, Dataset
+from profila.model import DATETIME, EXACT, NUMERIC, ROW, Dataset
 from profila.operators.quality import dedupe
 
 PREVIEW_ROWS = 50
 
 
 def cleaned_rows(ds: Dataset, remove_duplicates: bool = False) -> DataFrame:
-    """The typed table in source order, without repeated rows if wanted."""
-    table = dedupe(ds.table) if remove_duplicates else ds.table
-    return table.orderBy(ROW)
+    """The typed table and the columns without a profile in source order, without repeated rows if wanted."""
+    rows = _whole_rows(ds, remove_duplicates)
+    return rows.select(*[f"`{c}`" for c in [*ds.table.columns, *ds.unprofiled]])
+
+
+def _whole_rows(ds: Dataset, remove_duplicates: bool) -> DataFrame:
+    return (dedupe(ds.compared) if remove_duplicates else ds.compared).orderBy(ROW)
+
+
+def _other_text(c: Column, dtype: T.DataType) -> Column:
+    """Cells of columns without a profile: nested ones as JSON, binary ones as base 64."""
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.to_json(c)
+    return F.base64(c) if isinstance(dtype, T.BinaryType) else c.cast("string")
 
 
 def write_cleaned_csv(ds: Dataset, folder: str, remove_duplicates: bool = False) -> str:
@@ -34,13 +46,17 @@ def write_cleaned_csv(ds: Dataset, folder: str, remove_duplicates: bool = False)
         if kind == DATETIME:
             return F.date_format(c, "yyyy-MM-dd HH:mm:ss" if timed[name] else "yyyy-MM-dd")
         text = value_text(c, ds.table.schema[name].dataType)
+        if EXACT + name in ds.compared.columns:
+            source = F.col(f"`{EXACT}{name}`").cast("string")
+            text = F.when(source.rlike(r"^-?\d+(\.\d+)?$"), source).otherwise(text)
         if kind == NUMERIC or ds.table.schema[name].dataType.typeName() == "double":
             return F.when(text.rlike(r"^-?\d+$"), F.concat(text, F.lit(".0"))).otherwise(text)
         return text
 
-    rows = cleaned_rows(ds, remove_duplicates)
-    out = rows.select(*[
-        cell(c.name, c.type).alias(("﻿" if i == 0 else "") + c.name) for i, c in enumerate(ds.columns)])
+    cells = [(c.name, cell(c.name, c.type)) for c in ds.columns]
+    cells += [(o, _other_text(F.col(f"`{o}`"), ds.compared.schema[o].dataType)) for o in ds.unprofiled]
+    out = _whole_rows(ds, remove_duplicates).select(*[
+        text.alias(("﻿" if i == 0 else "") + name) for i, (name, text) in enumerate(cells)])
     out.write.option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(target)
     return target
 

@@ -20,8 +20,7 @@ def profile_table(name: str, df: DataFrame, row: str | None = None) -> Dataset:
     use_utc(df.sparkSession)
     if row and row != ROW:
         df = df.withColumn(ROW, F.col(row).cast("long"))
-    typed, columns, rows = infer(df)
-    return Dataset(name, typed, columns, rows)
+    return Dataset.split(name, *infer(df))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
