@@ -3,7 +3,10 @@
 A text becomes a vector of its character pairs and triples (hashed to a fixed number of places),
 weighted by damped frequency times inverse document frequency and scaled to length one. Each
 language has a few centroids found by k-means on labelled texts; a text gets the language of the
-centroid with the largest cosine. Texts much farther from it than the labelled ones are rejected.
+centroid with the largest cosine. Texts much farther from it than labelled ones of like length are
+rejected: cosines grow with length, so each language has a floor per power of two of the number of
+grams. They are fitted on the labelled texts, beginnings of them, and several of them joined. Texts with
+fewer grams than any fitted band are too short to judge and kept.
 
 Training uses a bounded sample: about ``sample`` labelled rows, shared equally by the languages and
 drawn by a hash of the id. All texts are read whole.
@@ -32,6 +35,9 @@ ROUNDS = 12
 SEED = 7
 # Rejected: a cosine below this share of the lowest ones (0.5 %) among labelled texts.
 REJECT = 0.5
+CUTS = (8, 16, 32, 64, 128)  # characters of the beginnings that floors are fitted on
+BANDS = 48                   # powers of two of gram counts
+BAND_ROWS = 8                # labelled texts that fit a floor
 BLOCK = 1 << 20
 
 # Fixed: odd multipliers of the two n-gram hashes.
@@ -88,12 +94,25 @@ class Model:
     languages: list[str]  # of each centroid, in order
     centroids: np.ndarray
     weights: np.ndarray
-    floors: np.ndarray  # lowest accepted cosine of each centroid's language
+    floors: np.ndarray  # lowest accepted cosine of each centroid's language, per band of gram counts
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return unit((np.log1p(counts) * self.weights).astype(np.float32))
 
 
+def band(counts: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int)
+
+
+def fit_floors(cosines: np.ndarray, bands: np.ndarray, reject: float) -> np.ndarray:
+    """``reject`` times the low cosines of each band; bands without enough texts take the next lower fitted one."""
+    out, last = np.zeros(BANDS), 0.0
+    for i in range(BANDS):
+        here = cosines[bands == i]
+        out[i] = last = reject * float(np.quantile(here, 0.005)) if len(here) >= BAND_ROWS else last
+    return out
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The rows that are kept for measuring: crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -107,7 +126,7 @@ def train(
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    empty = Model([], np.zeros((0, places), np.float32), np.ones(places), np.zeros(0))
+    empty = Model([], np.zeros((0, places), np.float32), np.ones(places), np.zeros((0, BANDS)))
     if not sizes:
         return empty
     share = max(8, sample // len(sizes))
@@ -117,34 +136,56 @@ def train(
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, where, counts = [], [], []
+            langs, where, counts, cut = [], [], [], []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if has_letter(text):
-                    found = gram_counts(text, places)
+                for part in [text, *(text[:n] for n in CUTS if n < len(text))] if has_letter(text) else []:
+                    if not has_letter(part):
+                        continue
+                    found = gram_counts(part, places)
                     at = np.flatnonzero(found)
+                    cut.append(part is not text)
                     langs.append(lang)
                     where.append(at.astype("<u4").tobytes())
                     counts.append(found[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_pydict({
-                "lang": pa.array(langs, pa.string()), "at": pa.array(where, pa.binary()), "n": pa.array(counts, pa.binary())})
+                "lang": pa.array(langs, pa.string()), "at": pa.array(where, pa.binary()), "n": pa.array(counts, pa.binary()),
+                "cut": pa.array(cut, pa.bool_())})
 
     # One row per language, counted above; without the broadcast every text would be shuffled by language.
     drawn = labelled.join(F.broadcast(bounds), "lang").where(place < F.col("bound")).select("lang", "text")
-    rows = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in drawn.mapInArrow(sparse, "lang string, at binary, n binary").collect())
+    found = sorted((r["lang"], bytes(r["at"]), bytes(r["n"]), r["cut"]) for r in drawn.mapInArrow(
+        sparse, "lang string, at binary, n binary, cut boolean").collect())
+    rows, cuts = [r[:3] for r in found if not r[3]], [r[:3] for r in found if r[3]]
     if not rows:
         return empty
-    counts = np.zeros((len(rows), places), np.float32)
-    for i, (_, at, n) in enumerate(rows):
-        counts[i, np.frombuffer(at, "<u4")] = np.frombuffer(n, "<f4")
+
+    def dense(rows: list[tuple]) -> np.ndarray:
+        out = np.zeros((len(rows), places), np.float32)
+        for i, (_, at, n) in enumerate(rows):
+            out[i, np.frombuffer(at, "<u4")] = np.frombuffer(n, "<f4")
+        return out
+
+    counts = dense(rows)
     model = Model([], counts, np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1, np.zeros(0))
     vectors, langs = model.vectors(counts), np.array([r[0] for r in rows], dtype=object)
     centres, floors = [], []
     for lang in sorted(set(langs)):
         own = vectors[langs == lang]
         centres.append(clusters(own, centroids, ROUNDS, seed))
-        low = float(np.quantile((own @ centres[-1].T).max(axis=1), 0.005))
+        seen = [((own @ centres[-1].T).max(axis=1), band(counts[langs == lang]))]
+
+        def look(part: np.ndarray) -> None:
+            seen.append(((model.vectors(part) @ centres[-1].T).max(axis=1), band(part)))
+
+        short = [r for r in cuts if r[0] == lang]
+        for at in range(0, len(short), 512):
+            look(dense(short[at : at + 512]))
+        joined = counts[langs == lang]
+        while len(joined) >= 2 * BAND_ROWS:  # pairs of texts, fours, eights...
+            joined = joined[: len(joined) // 2] + joined[len(joined) // 2 : len(joined) // 2 * 2]
+            look(joined)
         model.languages += [lang] * len(centres[-1])
-        floors += [reject * low] * len(centres[-1])
+        floors += [fit_floors(*map(np.concatenate, zip(*seen)), reject)] * len(centres[-1])
     model.centroids, model.floors = np.concatenate(centres), np.array(floors)
     return model
 
@@ -161,7 +202,7 @@ def judge(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray,
                 cosines = model.vectors(counts) @ model.centroids.T
                 best = cosines.argmax(axis=1)
                 scores[asked] = np.clip(cosines[np.arange(len(asked)), best], 0, 1)
-                rejected[asked] = scores[asked] < model.floors[best]
+                rejected[asked] = scores[asked] < model.floors[best, band(counts)]
                 for i, c in zip(asked, best):
                     langs[i] = model.languages[c]
     return langs, scores, rejected
