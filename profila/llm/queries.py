@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profila.llm import ann, hamming, langid, licenses, mixing, neardup, packing, repeats, secrets, tokencount
+from profila.llm import (
+    ann, hamming, langid, lexical, licenses, merkle, mixing, neardup, packing, pii, repeats, secrets, tokencount,
+)
 from profila.llm.common import table
+from profila.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +72,26 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    lowered = F.translate("text", lexical.UPPER, lexical.LOWER)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.audited(table(spark, folder, "documents"), F.when(tampered, lowered).otherwise(F.col("text")))
+
+
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_language_id": op2_language_id,
@@ -78,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_token_counts": op9_token_counts,
     "op10_repeats": op10_repeats,
+    "op11_manifest": op11_manifest,
+    "op12_search": op12_search,
+    "op13_pii": op13_pii,
 }
-
-ORACLES: dict[str, str] = {}
