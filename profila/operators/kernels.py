@@ -8,6 +8,7 @@ stays distributed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,10 +17,10 @@ from pyspark.sql import types as T
 
 from profila.functions.labels import OTHER, label, value_text
 from profila.functions.text import finite
-from profila.session import broadcast_rows, checkpointed, setting, small_rows
+from profila.session import staging_path
 
-QUANTILE_BUCKETS = 4096     # histogram cells per refinement step
-QUANTILE_COLLECT = 20_000   # values left in a cell when they are sorted directly
+SKETCH = 20_000              # a quantile of the sketch is off by one in so many ranks at most
+REACHES = (3 / SKETCH, 0.03)  # half widths of the spans around wanted ranks, as shares of a group
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -46,108 +47,79 @@ def settled(df: DataFrame) -> DataFrame:
 
 # --- quantiles ---------------------------------------------------------------------------
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], sizes=None,
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles per group with linear interpolation: keys, n, q (array).
 
-    The groups themselves are few (columns, labels, periods); their sizes are unbounded.
-    Small groups use the built-in aggregate, which holds every distinct value of a group in
-    one task. Once a group outgrows the bound, cells of a value histogram are refined until
-    those holding the wanted ranks are small: each step is one map-side aggregate.
-    ``sizes`` may pass rows of (keys, n, lo, hi) that the caller already knows.
+    The groups themselves are few (columns, labels, periods); their sizes are unbounded. The first scan
+    makes one mergeable sketch per group, whose quantiles are off by one rank in ``SKETCH`` at most. Values
+    around each wanted rank, as far as that error reaches, form a span. The second scan counts the rows
+    between the spans and the equal values within them, which gives the ranks exactly. Both are map-side
+    aggregates, whatever the values; what meets per group is a few ten-thousandths of its distinct values.
     """
     spark = df.sparkSession
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    if sizes is None:
-        sizes = rows.groupBy(*keys).agg(
-            F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
-    sizes = [(tuple(g[k] for k in keys), g["n"], g["lo"], g["hi"]) for g in sizes if g["n"]]
-    if max((n for _, n, _, _ in sizes), default=0) <= small_rows(spark):
-        return rows.groupBy(*keys).agg(
-            F.count("*").alias("n"),
-            F.percentile("_v", F.array(*map(F.lit, probs))).alias("q"))
-
-    ranks = {key: sorted({min(int(p * (n - 1)) + up, n - 1) for p in probs for up in (0, 1)})
-             for key, n, _, _ in sizes}
-    found = _order_statistics(rows, keys, sizes, ranks)
+    probes = sorted({min(1.0, max(0.0, p + side * reach)) for p in probs for reach in REACHES for side in (-1, 1)})
+    sketches = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+        F.percentile_approx("_v", probes, SKETCH).alias("at")).collect()
+    groups = {tuple(g[k] for k in keys): g for g in sketches}
+    spans = {key: _spans(g, dict(zip(probes, g["at"])), probs) for key, g in groups.items()}
+    found = _selected(rows, keys, spans, groups, probs) if groups else {}
+    missed = {key for key in groups if None in found[key]}
+    if missed:  # the sketch was off by more than it promises: count all values of those groups
+        whole = {key: [(groups[key]["lo"], groups[key]["hi"])] for key in missed}
+        found |= _selected(rows, keys, whole, {key: groups[key] for key in missed}, probs)
     out = []
-    for key, n, _, _ in sizes:
+    for key, g in groups.items():
         q = []
-        for p in probs:
-            at = p * (n - 1)
-            low, high = found[key, int(at)], found[key, min(int(at) + 1, n - 1)]
+        for i, p in enumerate(probs):
+            at = p * (g["n"] - 1)
+            low, high = found[key][2 * i], found[key][2 * i + 1]
             q.append(low + (high - low) * (at - int(at)))
-        out.append((*key, n, q))
+        out.append((*key, g["n"], q))
     return spark.createDataFrame(out, T.StructType([
         *[rows.schema[k] for k in keys],
         T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))]))
 
 
-def _order_statistics(rows, keys, sizes, ranks) -> dict:
-    """Values at the wanted ranks: {(key, rank): value}.
-
-    A span is (key, lowest value, highest value, rows below it, rows in it). Spans of a
-    group never overlap, so a row belongs to one at most and is never repeated.
-    """
-    found: dict = {}
-    limit = setting(rows.sparkSession, "quantileCollect", QUANTILE_COLLECT)
-    spans = [(key, lo, hi, 0, n) for key, n, lo, hi in sizes]
-    while spans:
-        to_sort, to_split = [], []
-        for span in spans:
-            key, lo, hi, below, inside = span
-            here = [r for r in ranks[key] if below <= r < below + inside]
-            if lo == hi:
-                found.update({(key, r): lo for r in here})
-            elif here:
-                (to_sort if inside <= limit else to_split).append((span, here))
-        if to_sort:
-            found.update(_sorted_values(rows, keys, to_sort))
-        spans = _split(rows, keys, to_split) if to_split else []
-    return found
-
-
-def _in_spans(rows, keys, asked):
-    table = rows.sparkSession.createDataFrame(
-        [(*span[0], i, span[1], span[2]) for i, (span, _) in enumerate(asked)],
-        T.StructType([*[rows.schema[k] for k in keys], T.StructField("span", T.IntegerType()),
-                      T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
-    return rows.join(F.broadcast(table), list(keys)).where(
-        F.col("_v").between(F.col("lo"), F.col("hi")))
-
-
-def _rank_table(rows, asked):
-    return rows.sparkSession.createDataFrame(
-        [(i, r - span[3]) for i, (span, here) in enumerate(asked) for r in here], "span int, at long")
-
-
-def _sorted_values(rows, keys, asked) -> dict:
-    """Sort the few values of each span and read off its ranks."""
-    values = _in_spans(rows, keys, asked).groupBy("span").agg(
-        F.sort_array(F.collect_list("_v")).alias("vs"))
-    picked = values.join(F.broadcast(_rank_table(rows, asked)), "span").select(
-        "span", "at", F.get("vs", F.col("at").cast("int")).alias("v"))
-    return {(asked[r["span"]][0][0], asked[r["span"]][0][3] + r["at"]): r["v"] for r in picked.collect()}
-
-
-def _split(rows, keys, asked) -> list:
-    """Cut spans into equal cells, count them, keep those holding a wanted rank."""
-    cells = max(64, min(QUANTILE_BUCKETS, 1_000_000 // len(asked)))
-    # halves avoid overflow for spans wider than the largest double
-    share = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    cell = F.least(F.floor(share * cells).cast("int"), F.lit(cells - 1))
-    counted = _in_spans(rows, keys, asked).groupBy("span", cell.alias("cell")).agg(
-        F.count("*").alias("n"), F.min("_v").alias("first"), F.max("_v").alias("last"))
-    before = F.sum("n").over(W.partitionBy("span").orderBy("cell")) - F.col("n")
-    hit = (
-        counted.withColumn("before", before)
-        .join(F.broadcast(_rank_table(rows, asked)), "span")
-        .where((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("n")))
-        .select("span", "first", "last", "before", "n").distinct()
-    )
-    return [(asked[r["span"]][0][0], r["first"], r["last"], asked[r["span"]][0][3] + r["before"], r["n"])
-            for r in hit.collect()]
+def _spans(group, at: dict[float, float], probs: Sequence[float]) -> list[tuple[float, float]]:
+    """Disjoint value spans that hold the wanted ranks: the narrowest reach that covers error and rounding."""
+    reach = next((r for r in REACHES if r * group["n"] >= 3 + group["n"] / SKETCH), None)
+    if reach is None:
+        return [(group["lo"], group["hi"])]
+    out: list[tuple[float, float]] = []
+    for p in sorted(probs):
+        low = at[max(0.0, p - reach)] if p > reach else group["lo"]
+        high = at[min(1.0, p + reach)] if p + reach < 1 else group["hi"]
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _selected(rows, keys, spans, groups, probs) -> dict[tuple, list[float | None]]:
+    """Per group the values at the ranks below and above each wanted place; None for a rank outside the spans."""
+    most = max(map(len, spans.values()))
+    bounds = [(*key, groups[key]["n"], *[x for span in [*held, *[(None, None)] * (most - len(held))] for x in span])
+              for key, held in spans.items()]
+    names = [f"_{end}{i}" for i in range(most) for end in ("lo", "hi")]
+    table = rows.sparkSession.createDataFrame(bounds, T.StructType([
+        *[T.StructField(f"_key{i}", rows.schema[k].dataType) for i, k in enumerate(keys)], T.StructField("_n", T.LongType()),
+        *[T.StructField(n, T.DoubleType()) for n in names]]))
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    near = rows.join(F.broadcast(table), same)
+    v = F.col("_v")
+    begun = sum((F.coalesce(v >= F.col(f"_lo{i}"), F.lit(False)).cast("int") for i in range(most)), F.lit(0))
+    inside = reduce(lambda a, b: a | b, [F.coalesce(v.between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), F.lit(False)) for i in range(most)])
+    counted = near.groupBy(*keys, "_n", begun.alias("_cell"), F.when(inside, v).alias("_value")).agg(F.count("*").alias("_rows"))
+    order = W.partitionBy(*keys).orderBy("_cell", F.col("_value").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    placed = counted.withColumn("_upto", F.sum("_rows").over(order))
+    ranks = [F.least(F.floor(F.lit(p) * (F.col("_n") - 1)) + up, F.col("_n") - 1) for p in probs for up in (0, 1)]
+    picked = placed.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("_upto") > rank, F.struct("_upto", "_value")))["_value"].alias(f"_q{i}")
+        for i, rank in enumerate(ranks)])
+    return {tuple(r[k] for k in keys): [r[f"_q{i}"] for i in range(len(ranks))] for r in picked.collect()}
 
 
 # --- value counts and labels -------------------------------------------------------------
@@ -189,101 +161,84 @@ def label_table(spark, labels: Sequence[str], name: str, position: str) -> DataF
 
 # --- ranks -------------------------------------------------------------------------------
 
-def running_totals(values: DataFrame, value: str, counts: Sequence[str], n_values: int) -> DataFrame:
-    """Add ``upto_<count>``: the running sum of each count in value order, over distinct values.
+def running_totals(values: DataFrame, group: str, value: str, counts: Sequence[str]) -> DataFrame:
+    """Add ``upto_<count>``: the running sum of each count over the distinct values of each group, in value order.
 
-    Few values fit one window. Otherwise the values are range-partitioned, checkpointed so
-    that partition membership is fixed, summed inside their partition and shifted by the
-    totals of the partitions before.
+    All groups are range-partitioned once by (group, value) and written, so that partition membership is
+    fixed. Sums inside a partition are shifted by those of the partitions before.
     """
-    if n_values <= broadcast_rows(values.sparkSession):
-        w = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        return values.select("*", *[F.sum(c).over(w).alias(f"upto_{c}") for c in counts])
-    parts = checkpointed(
-        values.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
-    upto = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
-    shifts = parts.groupBy("_part").agg(*[F.sum(c).alias(f"in_{c}") for c in counts]).select(
-        "_part", *[F.coalesce(F.sum(f"in_{c}").over(upto), F.lit(0)).alias(f"shift_{c}") for c in counts])
-    inside = W.partitionBy("_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return parts.join(F.broadcast(shifts), "_part").select(
+    path = staging_path(values.sparkSession, "ranks")
+    values.repartitionByRange(group, value).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    parts = values.sparkSession.read.parquet(path)
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
+    shifts = parts.groupBy(group, "_part").agg(*[F.sum(c).alias(f"in_{c}") for c in counts]).select(
+        group, "_part", *[F.coalesce(F.sum(f"in_{c}").over(before), F.lit(0)).alias(f"shift_{c}") for c in counts])
+    inside = W.partitionBy(group, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    return parts.join(F.broadcast(shifts), [group, "_part"]).select(
         *values.columns,
         *[(F.sum(c).over(inside) + F.col(f"shift_{c}")).alias(f"upto_{c}") for c in counts])
 
 
-def distinct_sizes(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, int]]:
-    """(distinct values, present rows) of every column, from one job."""
-    sizes = value_counts(df, cols).groupBy("column").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    found = {r["column"]: (r["k"], r["n"]) for r in sizes.collect()}
-    return {c: found.get(c, (0, 0)) for c in cols}
-
-
-def average_ranks(
-    df: DataFrame, value: str, masks: dict[str, str | None], n_values: int,
-) -> DataFrame:
-    """Average ranks per distinct value: (_value, _rows, one column per mask).
+def rank_pairs(df: DataFrame, cols: Sequence[str], gappy: Sequence[str]) -> DataFrame:
+    """(i, j, x, y): for every row and every pair of columns present in it, the average ranks of both values
+    among the rows where both are present.
 
-    A mask limits the ranked rows to those where another column is present (None: all rows
-    with a value). One shuffle with one counter per mask serves all of them.
+    ``gappy`` names the columns with missing values. A row's bitmask of those, as a string, is a dimension of
+    one histogram (column, value, mask, count) for all columns; a value's rank next to a partner counts the
+    masks that hold the partner. Ranks meet the cells in one join and the cells their row in one shuffle,
+    whatever the number of columns.
     """
-    names = [f"n_{i}" for i in range(len(masks))]
-    counters = [
-        F.count("*" if other is None else f"`{other}`").alias(n)
-        for n, other in zip(names, masks.values())
-    ]
-    seen = df.where(F.col(f"`{value}`").isNotNull()).groupBy(F.col(f"`{value}`").alias("_value")).agg(
-        F.count("*").alias("_rows"), *counters)
-    return running_totals(seen, "_value", names, n_values).select(
-        "_value", "_rows",
-        *[(F.col(f"upto_{n}") - (F.col(n) - 1) / 2).alias(out) for n, out in zip(names, masks)])
-
-
-def join_by_value(
-    df: DataFrame, value: str, lookup: DataFrame, key: str, outs: Sequence[str], n_keys: int, n_rows: int,
-) -> DataFrame:
-    """Left join of rows with a table unique in ``key`` that also counts rows per key (_rows).
-
-    A lookup within the checked bound is broadcast. Beyond it, keys holding more than a
-    thousandth of the rows (so fewer than a thousand keys) are broadcast, and only the rows
-    of other keys are shuffled by key; the rest spread evenly by input partition.
-    """
-    if n_keys <= broadcast_rows(df.sparkSession):
-        side = F.broadcast(lookup.drop("_rows"))
-        return df.join(side, F.col(f"`{value}`") == side[key], "left").drop(key)
-    hot = F.col("_rows") > n_rows // 1000
-    hot_side = F.broadcast(lookup.where(hot).select(
-        F.col(key).alias("_hot"), *[F.col(f"`{o}`").alias(f"_hot_{o}") for o in outs]))
-    cold_side = lookup.where(~hot).select(F.col(key).alias("_cold"), F.lit(-1).alias("_cold_salt"),
-                                          *[F.col(f"`{o}`").alias(f"_cold_{o}") for o in outs])
-    rows = df.join(hot_side, F.col(f"`{value}`") == F.col("_hot"), "left")
-    cold = F.col("_hot").isNull() & F.col(f"`{value}`").isNotNull()
-    rows = rows.withColumn("_key", F.when(cold, F.col(f"`{value}`"))).withColumn(
-        "_salt", F.when(cold, -1).otherwise(F.spark_partition_id()))
-    rows = rows.join(
-        cold_side, (F.col("_key") == F.col("_cold")) & (F.col("_salt") == F.col("_cold_salt")), "left")
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns],
-                       *[F.coalesce(F.col(f"`_hot_{o}`"), F.col(f"`_cold_{o}`")).alias(o) for o in outs])
+    spark = df.sparkSession
+    path = staging_path(spark, "rank-rows")
+    df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).withColumn(
+        "id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    slots = {cols.index(c): k + 1 for k, c in enumerate(gappy)}  # place of a partner's ranks; 0 for partners without gaps
+    present = [F.when(F.col(f"c{i}").isNull(), "0").otherwise("1") for i in slots]
+    masked = rows.withColumn("mask", F.concat(*present) if present else F.lit(""))
+    cells = masked.select("id", "mask", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(f"c{i}").alias("value")) for i in range(len(cols))])).alias("cell")).select(
+        "id", "mask", "cell.c", "cell.value").where("value is not null")
+    counted = cells.groupBy("c", "value", "mask").agg(F.count("*").alias("n"))
+    names = [f"n{k}" for k in range(len(slots) + 1)]
+    seen = counted.groupBy("c", "value").agg(F.sum("n").alias("n0"), *[
+        F.sum(F.when(F.substring("mask", k, 1) == "1", F.col("n")).otherwise(0)).alias(f"n{k}") for k in slots.values()])
+    ranks = running_totals(seen, "c", "value", names).select(
+        "c", "value", F.array(*[F.col(f"upto_{n}") - (F.col(n) - 1) / 2 for n in names]).alias("ranks"))
+    whole = cells.join(ranks, ["c", "value"]).groupBy("id").agg(F.collect_list(F.struct("c", "ranks")).alias("cells"))
+    slot = F.array(*[F.lit(slots.get(i, 0)) for i in range(len(cols))])
+
+    def beside(a: Column) -> Column:
+        return F.transform(F.filter("cells", lambda b: b["c"] > a["c"]), lambda b: F.struct(
+            a["c"].alias("i"), b["c"].alias("j"), F.get(a["ranks"], F.get(slot, b["c"])).alias("x"),
+            F.get(b["ranks"], F.get(slot, a["c"])).alias("y")))
+
+    return whole.select(F.inline(F.flatten(F.transform("cells", beside))))
 
 
 # --- samples -----------------------------------------------------------------------------
 
+def drawing_order(keys: Sequence[str | Column], seed: int = 42) -> Column:
+    """The hash by which rows are drawn: hexadecimal MD5 of seed and keys, joined by bars."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(f"`{k}`") if isinstance(k, str) else k).cast("string") for k in keys]))
+
+
 def sample_rows(df: DataFrame, n: int, total: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly min(n, total) rows, always the same ones: those with the smallest key hashes.
+    """Exactly min(n, total) rows, always the same ones: the bottom n by ``drawing_order``.
 
-    A hash threshold sized for n rows runs in the scan, so only about n rows meet in the
-    final top-n; it is raised in the unlikely case that it lets too few rows through.
+    A hash threshold sized for n rows runs in the scan, so only about n rows meet in the final top-n; it is
+    raised until it lets enough rows through.
     """
     if total <= n:
         return df
-    hashed = df.withColumn("_hash", F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed)))
-    share = min(1.0, (n + 10 * n ** 0.5 + 100) / total)
+    hashed = df.withColumn("_hash", drawing_order(keys, seed))
+    share = (n + 10 * n ** 0.5 + 100) / total
+    kept = hashed
     while share < 1.0:
-        bound = int(-(2 ** 63) + share * 2 ** 64)
-        kept = hashed.where(F.col("_hash") < F.lit(min(bound, 2 ** 63 - 1)))
-        if total <= small_rows(df.sparkSession) or kept.count() >= n:
+        kept = hashed.where(F.col("_hash") < f"{int(share * 16 ** 15):015x}")
+        if kept.count() >= n:
             break
-        share *= 4
-    if total <= small_rows(df.sparkSession) or share >= 1.0:
-        kept = hashed
+        share, kept = share * 4, hashed
     return kept.orderBy("_hash", *[F.col(f"`{k}`") for k in keys]).limit(n).drop("_hash")
 
 

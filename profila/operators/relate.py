@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 from profila.functions.labels import association, strength
 from profila.functions.tails import chi2_p, pearson_p
 from profila.operators.kernels import (
-    average_ranks, distinct_sizes, join_by_value, label_table, labelled, number, numbers, quantiles, sample_rows, top_labels,
+    label_table, labelled, number, numbers, quantiles, rank_pairs, sample_rows, top_labels,
 )
 from profila.operators.stats import moments
 
-MAX_COLUMNS = 25
-MAX_PAIRS = 30
 PAIRS_PER_PASS = 60
 MIN_PAIR_ROWS = 3
 SCATTER_POINTS = 4000
@@ -51,30 +49,28 @@ class Correlation:
         diagonal = spark.createDataFrame([(c, c, 1.0) for c in self.columns], "a string, b string, r double")
         return self.pairs.select(F.inline(both)).unionByName(diagonal)
 
-    def ranked(self, limit: int = MAX_PAIRS) -> DataFrame:
-        """Strongest pairs first."""
-        return self.pairs.where("r is not null").select(
-            "a", "b", "r", "n", strength(F.col("r")).alias("strength"), "i", "j",
-        ).orderBy(F.desc(F.abs("r")), "i", "j").limit(limit).drop("i", "j")
+    def ranked(self, limit: int | None = None) -> DataFrame:
+        """Strongest pairs first, all of them unless limited."""
+        found = self.pairs.where("r is not null").select(
+            "a", "b", "r", "n", strength(F.col("r")).alias("strength"), "i", "j").orderBy(F.desc(F.abs("r")), "i", "j")
+        return (found if limit is None else found.limit(limit)).drop("i", "j")
 
 
 def eligible(
-    df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None,
+    df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None, most: int | None = None,
 ) -> tuple[list[str], dict[str, int], bool]:
-    """Columns with at least 3 values that vary; the 25 most complete if there are more.
+    """Columns with at least 3 values that vary, in the given order; the ``most`` complete ones if that is set.
 
     Also the missing cells of each, and whether columns were left out.
     """
     if not cols:
         return [], {}, False
-    measured = (profile or moments(df, cols)).select("column", "count", "missing", "std").collect()
-    stats = {r["column"]: r for r in measured}
-    usable = [c for c in cols if stats[c]["count"] >= MIN_PAIR_ROWS and (stats[c]["std"] or 0) > 0]
-    truncated = len(usable) > MAX_COLUMNS
-    if truncated:
-        keep = set(sorted(usable, key=lambda c: -stats[c]["count"])[:MAX_COLUMNS])
-        usable = [c for c in usable if c in keep]
-    return usable, {c: stats[c]["missing"] for c in usable}, truncated
+    place = F.array_position(F.array(*map(F.lit, cols)), F.col("column"))
+    varying = (profile or moments(df, cols)).where((F.col("count") >= MIN_PAIR_ROWS) & (F.col("std") > 0)).select(
+        "column", "missing", place.alias("place"), F.row_number().over(W.orderBy("missing", place)).alias("nth"))
+    found = sorted(varying.collect(), key=lambda r: r["place"])
+    kept = [r for r in found if most is None or r["nth"] <= most]
+    return [r["column"] for r in kept], {r["column"]: r["missing"] for r in kept}, len(kept) < len(found)
 
 
 def _clipped(r):
@@ -110,9 +106,11 @@ def _pair_table(df: DataFrame, cols: Sequence[str], sides) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def pearson(df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None) -> Correlation | None:
-    """Linear correlation over pairwise complete rows."""
-    usable, gaps, truncated = eligible(df, cols, profile)
+def pearson(
+    df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None, most: int | None = None,
+) -> Correlation | None:
+    """Linear correlation over pairwise complete rows, of all varying columns or the ``most`` complete ones."""
+    usable, gaps, truncated = eligible(df, cols, profile, most)
     if len(usable) < 2:
         return None
     pairs = _pair_table(
@@ -120,35 +118,25 @@ def pearson(df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None
     return Correlation("pearson", usable, truncated, pairs)
 
 
-def spearman(df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None) -> Correlation | None:
+def spearman(
+    df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None, most: int | None = None,
+) -> Correlation | None:
     """Rank correlation; ranks are average ranks among the complete rows of each pair."""
-    usable, gaps, truncated = eligible(df, cols, profile)
+    usable, gaps, truncated = eligible(df, cols, profile, most)
     if len(usable) < 2:
         return None
-    ranked, sides = _ranked(numbers(df, usable), usable, gaps)
-    return Correlation("spearman", usable, truncated, _pair_table(ranked, usable, sides))
+    found = _rank_correlation(numbers(df, usable), usable, [c for c in usable if gaps[c]])
+    listed = df.sparkSession.createDataFrame(
+        [(i, j, usable[i], usable[j]) for i, j in itertools.combinations(range(len(usable)), 2)], "i int, j int, a string, b string")
+    pairs = listed.join(found, ["i", "j"], "left").select("i", "j", "a", "b", "r", F.coalesce("n", F.lit(0)).alias("n"))
+    return Correlation("spearman", usable, truncated, pairs)
 
 
-def _ranked(rows: DataFrame, cols: Sequence[str], gaps: dict[str, int]):
-    """Rows with rank columns, and the naming of the two rank columns of a pair.
-
-    The rank of a's value depends on b only through the rows b leaves out, so a column gets
-    one rank plus one per partner with gaps. All of them come from one pass over its
-    distinct values.
-    """
-    def rank_name(a: str, b: str) -> str:
-        return f"rank {a} | {b}" if gaps[b] else f"rank {a}"
-
-    sizes = distinct_sizes(rows, cols)
-    ranked = rows
-    for a in cols:
-        partners = [b for b in cols if b != a and gaps[b]]
-        masks = {rank_name(a, b): b for b in partners}
-        if len(partners) < len(cols) - 1:
-            masks[f"rank {a}"] = None
-        lookup = average_ranks(rows, a, masks, sizes[a][0])
-        ranked = join_by_value(ranked, a, lookup, "_value", list(masks), *sizes[a])
-    return ranked, lambda a, b: (rank_name(a, b), rank_name(b, a), bool(gaps[a] or gaps[b]))
+def _rank_correlation(rows: DataFrame, cols: Sequence[str], gappy: Sequence[str]) -> DataFrame:
+    """(i, j, r, n) of every pair of columns that share rows."""
+    r = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
+    n = F.count("*")
+    return rank_pairs(rows, cols, gappy).groupBy("i", "j").agg(F.when(n >= MIN_PAIR_ROWS, _clipped(r)).alias("r"), n.alias("n"))
 
 
 # --- scatter -----------------------------------------------------------------------------
@@ -156,22 +144,20 @@ def _ranked(rows: DataFrame, cols: Sequence[str], gaps: dict[str, int]):
 def scatter_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n, both coefficients, r squared, least-squares line, trend ends, p-value, strength."""
     both = numbers(df, [x, y]).toDF("x", "y").dropna()
-    ranked, sides = _ranked(both, ["x", "y"], {"x": 0, "y": 0})
-    rx, ry, _ = sides("x", "y")
-    fit = ranked.agg(
+    fit = both.agg(
         F.count("*").alias("n"),
         F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")).alias("r"),
-        F.try_divide(F.covar_samp(rx, ry), F.stddev_samp(rx) * F.stddev_samp(ry)).alias("rho"),
         F.stddev_samp("y").alias("sd_y"),
         F.regr_slope("y", "x").alias("k"), F.regr_intercept("y", "x").alias("c"),
         F.min("x").alias("x0"), F.max("x").alias("x1")).first()
     if fit["n"] < 3:
         raise ValueError("Fewer than 3 rows have values in both columns.")
+    rho = _rank_correlation(both, ["x", "y"], []).first()["r"]
     flat = fit["r"] is None
     r = None if flat else max(-1.0, min(1.0, fit["r"]))
     k, c = (None, None) if flat else (fit["k"], fit["c"])
     one = df.sparkSession.createDataFrame(
-        [(x, y, fit["n"], r, fit["rho"], k, c, fit["x0"], fit["x1"], pearson_p(r, fit["n"]))],
+        [(x, y, fit["n"], r, rho, k, c, fit["x0"], fit["x1"], pearson_p(r, fit["n"]))],
         "x string, y string, n long, r double, rho double, k double, c double, "
         "trend_x0 double, trend_x1 double, p_value double")
     at = lambda v: F.col("k") * F.col(v) + F.col("c")
@@ -187,9 +173,9 @@ def scatter_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def scatter_points(
     df: DataFrame, x: str, y: str, keys: Sequence[str], color: str | None = None,
-    limit: int = SCATTER_POINTS,
+    limit: int | None = SCATTER_POINTS,
 ) -> DataFrame:
-    """(group, x, y) for at most ``limit`` points drawn by row-key hash.
+    """(group, x, y, n, shown, sampled) for at most ``limit`` of the n points, drawn by row-key hash.
 
     With a colour column the shown points are grouped by their ten most frequent labels.
     """
@@ -202,17 +188,22 @@ def scatter_points(
     total = both.count()
     if total < 3:
         raise ValueError("Fewer than 3 rows have values in both columns.")
+    limit = total if limit is None else limit
     shown = sample_rows(both, limit, total, [f"_key{i}" for i in range(len(keys))])
-    if not color:
-        return shown.select(F.lit("Rows").alias("group"), "x", "y")
-    group, _ = top_labels(shown, "_color", SCATTER_COLORS)
-    return shown.select(group.alias("group"), "x", "y")
+    group = top_labels(shown, "_color", SCATTER_COLORS)[0] if color else F.lit("Rows")
+    return shown.select(group.alias("group"), "x", "y", *_extent(total, limit))
+
+
+def _extent(total: int, limit: int) -> list:
+    """How many rows there are, how many are shown, and whether that is a sample."""
+    return [F.lit(total).cast("long").alias("n"), F.lit(min(total, limit)).cast("long").alias("shown"),
+            F.lit(total > limit).alias("sampled")]
 
 
 def scatter_matrix(
-    df: DataFrame, cols: Sequence[str], keys: Sequence[str], limit: int = MATRIX_ROWS,
+    df: DataFrame, cols: Sequence[str], keys: Sequence[str], limit: int | None = MATRIX_ROWS,
 ) -> DataFrame:
-    """Rows complete in 2 to 6 columns, at most ``limit`` of them."""
+    """Rows complete in 2 to 6 columns, at most ``limit`` of them, with n, shown and sampled."""
     if not 2 <= len(cols) <= 6:
         raise ValueError("Select between 2 and 6 numeric columns.")
     rows = df.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
@@ -220,7 +211,8 @@ def scatter_matrix(
     total = rows.count()
     if total < 3:
         raise ValueError("Fewer than 3 rows have values in all selected columns.")
-    return sample_rows(rows, limit, total, [f"_key{i}" for i in range(len(keys))]).select(*cols)
+    limit = total if limit is None else limit
+    return sample_rows(rows, limit, total, [f"_key{i}" for i in range(len(keys))]).select(*cols, *_extent(total, limit))
 
 
 # --- pivot -------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from profila.functions.labels import skew_label
 from profila.operators.kernels import (
-    first_rows, labelled, long_form, numbers, quantiles, sample_rows, settled, value_counts,
+    drawing_order, first_rows, labelled, long_form, numbers, quantiles, settled, value_counts,
 )
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -61,8 +61,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cells = long_form(numbers(df, cols), cols).where("value is not null")
     base = moments(df, cols)
     known = base.collect()
-    sizes = [{"column": m["column"], "n": m["count"], "lo": m["min"], "hi": m["max"]} for m in known]
-    spread = quantiles(cells, ["column"], "value", PROBS, sizes).select(
+    spread = quantiles(cells, ["column"], "value", PROBS).select(
         "column", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p5", "q1", "median", "q3", "p95"))])
     shapes = (
         cells.groupBy("column", "value").agg(F.count("*").alias("n"))
@@ -168,7 +167,7 @@ def fences(df: DataFrame, cols: Sequence[str], profile: DataFrame | None = None)
         F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     known = base.collect()
-    q = quantiles(cells, ["column"], "value", (0.25, 0.5, 0.75), known).select(
+    q = quantiles(cells, ["column"], "value", (0.25, 0.5, 0.75)).select(
         "column", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return settled(
@@ -226,17 +225,23 @@ def outlier_extremes(
     return ranked.select("column", F.col("_nth").alias("position"), F.col(row).alias("row"), "value")
 
 
-def box_points(df: DataFrame, col: str, row: str, limit: int = BOX_POINTS) -> DataFrame:
-    """Outliers to draw: all, or the 5 lowest, the 5 highest and a fixed sample of the rest."""
-    out = _flagged(df, [col], fences(df, [col]), row).where("by_iqr").select("column", row, "value")
-    total = out.count()
-    if total <= limit:
-        return out
-    lowest = out.orderBy("value", row).limit(5)
-    highest = out.orderBy(F.desc("value"), row).limit(5)
-    ends = lowest.unionByName(highest)
-    rest = out.join(F.broadcast(ends.select(row)), row, "left_anti")
-    return ends.unionByName(sample_rows(rest, limit - 10, total - 10, [row]).select(*out.columns))
+def box_points(
+    df: DataFrame, cols: Sequence[str], row: str, limit: int | None = BOX_POINTS, profile: DataFrame | None = None,
+) -> DataFrame:
+    """Outliers to draw per column: all, or of more than ``limit`` the 5 lowest, the 5 highest and a fixed sample.
+
+    (column, row, value, n, shown, sampled); n counts the outliers, shown those returned.
+    """
+    out = _flagged(df, cols, fences(df, cols, profile), row).where("by_iqr").select("column", row, "value")
+    totals = out.groupBy("column").agg(F.count("*").alias("n"))
+    if limit is None:
+        return out.join(F.broadcast(totals), "column").withColumns({"shown": F.col("n"), "sampled": F.lit(False)})
+    low, high = [F.col("value"), F.col(row)], [F.desc("value"), F.col(row)]
+    ends = first_rows(out, 5, ["column"], low).unionByName(first_rows(out, 5, ["column"], high)).drop("_nth").distinct()
+    rest = out.join(F.broadcast(ends.select("column", row)), ["column", row], "left_anti")
+    drawn = first_rows(rest, limit - 10, ["column"], [drawing_order([row]), F.col(row)]).drop("_nth")
+    return ends.unionByName(drawn).join(F.broadcast(totals), "column").withColumns(
+        {"shown": F.least("n", F.lit(limit)), "sampled": F.col("n") > limit})
 
 
 # --- categories --------------------------------------------------------------------------

@@ -643,6 +643,36 @@ SELECT analysis, argument, value FROM (VALUES
 BOX_OUTLIERS = f"""WITH {_fences('value')}
 SELECT 'value' AS "column", event_id, v AS value FROM x WHERE iqr"""
 
+QUANTILES_WIDE = """
+SELECT event_type, count(*)::BIGINT AS n, """ + ", ".join(
+    f"round(ln(quantile_cont(v, {p})), 6) AS {c}" for p, c in ((0.01, "p1"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (0.99, "p99"))) + """
+FROM (SELECT event_type, exp((event_id * 7919 % 7001) / 10.0) * 1e-290 AS v FROM events) GROUP BY event_type"""
+
+
+def _drawn(source: str, keys: list[str], limit: int, shown: str) -> str:
+    """The bottom rows of ``source`` by the hash of their keys, with the extent of the sample."""
+    told = " || '|' || ".join(f"{k}::VARCHAR" for k in keys)
+    return f"""
+WITH src AS ({source}), size AS (SELECT count(*)::BIGINT AS n FROM src)
+SELECT {shown}, n, least(n, {limit})::BIGINT AS shown, n > {limit} AS sampled
+FROM (SELECT * FROM src ORDER BY md5('42|' || {told}), {", ".join(keys)} LIMIT {limit}), size"""
+
+
+_LINE_KEYS = ["l_orderkey", "l_linenumber"]
+SCATTER_POINTS = _drawn(
+    "SELECT * FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL", _LINE_KEYS, 4000,
+    """'Rows' AS "group", l_quantity AS x, l_extendedprice AS y""")
+SCATTER_COLORED = _drawn(
+    f"SELECT * FROM ({EVENTS_GAPS}) WHERE user_id IS NOT NULL AND value IS NOT NULL", ["event_id"], 4000,
+    """coalesce(event_type, '(missing)') AS "group", user_id::DOUBLE AS x, value AS y""")
+SCATTER_MATRIX = _drawn("SELECT * FROM lineitem", _LINE_KEYS, 1500, ", ".join(MEASURES[:3]))
+BOX_POINTS = f"""WITH {_fences('value')},
+o AS (SELECT event_id, v FROM x WHERE iqr), size AS (SELECT count(*)::BIGINT AS n FROM o),
+e AS ((SELECT * FROM o ORDER BY v, event_id LIMIT 5) UNION (SELECT * FROM o ORDER BY v DESC, event_id LIMIT 5)),
+r AS (SELECT * FROM o WHERE event_id NOT IN (SELECT event_id FROM e) ORDER BY md5('42|' || event_id::VARCHAR), event_id LIMIT 290)
+SELECT 'value' AS "column", event_id, v AS value, n, least(n, 300)::BIGINT AS shown, n > 300 AS sampled
+FROM (SELECT * FROM e UNION ALL SELECT * FROM r), size"""
+
 SCATTER_ALL = f"""
 SELECT coalesce(event_type, '(missing)') AS "group", count(*)::BIGINT AS n, round(sum(user_id)::DOUBLE, 2) AS sum_x, round(sum(value), 2) AS sum_y
 FROM ({EVENTS_GAPS}) WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY 1"""
@@ -726,6 +756,8 @@ ORACLES: dict[str, str] = {
     "ts_season_hour": _season_hour("mean"), "ts_season_hour_median": _season_hour("median"),
     "compare_schema": _compare_schema(), "compare_numeric": COMPARE_NUMERIC,
     "compare_categorical": union(map(_compare_categorical, ("o_orderstatus", "o_orderpriority"))),
+    "quantiles_wide": QUANTILES_WIDE, "scatter_points": SCATTER_POINTS, "scatter_colored": SCATTER_COLORED,
+    "scatter_matrix": SCATTER_MATRIX, "box_outlier_points": BOX_POINTS,
     "box_outliers_all": BOX_OUTLIERS, "scatter_all_colored": SCATTER_ALL, "scatter_matrix_all": MATRIX_ALL,
     "section_flags": SECTION_FLAGS, "chart_plan": CHART_PLAN, "findings_orders": _findings_orders(),
     "compare_overview": COMPARE_OVERVIEW, "report_defaults": REPORT_DEFAULTS,

@@ -164,6 +164,15 @@ def describe_events_gaps(spark, d):
     return _described(stats.describe(inputs.events_gaps(spark, d), ["value", "user_id"]))
 
 
+def quantiles_wide(spark, d):
+    """Quantiles of values over 600 powers of ten, shown as logarithms; equal widths would put all into one cell."""
+    wide = table(spark, d, "events").select(
+        "event_type", (F.exp((F.col("event_id") * 7919 % 7001) / 10.0) * F.lit(1e-290)).alias("v"))
+    q = kernels.quantiles(wide, ["event_type"], "v", (0.01, 0.25, 0.5, 0.75, 0.99))
+    names = ("p1", "q1", "median", "q3", "p99")
+    return rounded(q.select("event_type", "n", *[F.log(F.get("q", F.lit(i))).alias(c) for i, c in enumerate(names)]))
+
+
 def hist_discrete(spark, d):
     return stats.histograms(table(spark, d, "lineitem"), ["l_linenumber"])
 
@@ -177,12 +186,12 @@ def box_stats(spark, d):
 
 
 def box_outlier_points(spark, d):
-    return stats.box_points(table(spark, d, "events"), "value", "event_id")
+    return stats.box_points(table(spark, d, "events"), ["value"], "event_id")
 
 
 def box_outliers_all(spark, d):
     """Every outlier, as a box plot shows them while they are few."""
-    return stats.box_points(table(spark, d, "events"), "value", "event_id", limit=2 ** 62)
+    return stats.box_points(table(spark, d, "events"), ["value"], "event_id", limit=None).select("column", "event_id", "value")
 
 
 def outlier_table(spark, d):
@@ -279,14 +288,15 @@ def scatter_points(spark, d):
 def scatter_all_colored(spark, d):
     """All points, as a scatter plot shows them while they are few."""
     points = relate.scatter_points(
-        inputs.events_gaps(spark, d), "user_id", "value", ["event_id"], "event_type", limit=2 ** 62)
+        inputs.events_gaps(spark, d), "user_id", "value", ["event_id"], "event_type", limit=None)
     return points.groupBy("group").agg(
         F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("sum_x"), F.round(F.sum("y"), 2).alias("sum_y"))
 
 
 def scatter_matrix_all(spark, d):
-    rows = relate.scatter_matrix(inputs.related(spark, d, gaps=True), ["qty", "net", "falling"], ["l_orderkey", "l_linenumber"], limit=2 ** 62)
-    return rows.agg(F.count("*").alias("n"), *[F.round(F.sum(c), 1).alias(c) for c in rows.columns])
+    cols = ["qty", "net", "falling"]
+    rows = relate.scatter_matrix(inputs.related(spark, d, gaps=True), cols, ["l_orderkey", "l_linenumber"], limit=None)
+    return rows.agg(F.count("*").alias("n"), *[F.round(F.sum(c), 1).alias(c) for c in cols])
 
 
 def scatter_colored(spark, d):
@@ -447,7 +457,7 @@ QUERIES: dict[str, Query] = {
         parquet_rows, csv_rows, csv_profile, csv_load_report, csv_cleaned, preview50,
         schema_profile, schema_examples, type_counts, numeric_parse, date_parse, date_vote, identifier_flags,
         text_kinds, case_variants, abbreviations, sample_values,
-        describe_lineitem, describe_events_gaps, hist_discrete, hist_binned, box_stats, box_outlier_points, box_outliers_all,
+        describe_lineitem, describe_events_gaps, quantiles_wide, hist_discrete, hist_binned, box_stats, box_outlier_points, box_outliers_all,
         outlier_table, outlier_extremes, value_counts, category_bars, category_summary, top_n_other,
         quality_overview, quality_columns, quality_issues, duplicate_rows, repeated_ids, dedupe_rows,
         corr_pearson, corr_pearson_gaps, corr_pairs, corr_spearman, corr_spearman_gaps,

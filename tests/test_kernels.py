@@ -9,17 +9,6 @@ from profila.operators import kernels, quality, relate, stats
 from profila.plans import inputs
 
 
-@pytest.fixture
-def large_route(spark):
-    """Bounds so low that every step takes the route meant for large data."""
-    names = {"smallRows": "10", "broadcastRows": "10", "quantileCollect": "5"}
-    for k, v in names.items():
-        spark.conf.set(f"spark.profila.{k}", v)
-    yield
-    for k in names:
-        spark.conf.unset(f"spark.profila.{k}")
-
-
 @pytest.fixture(scope="module")
 def skewed():
     """A third of the rows share one value; the rest has a long tail, negatives and nulls."""
@@ -53,11 +42,27 @@ def test_quantiles(spark, skewed):
     check_quantiles(spark, skewed)
 
 
-def test_quantiles_large(spark, skewed, large_route):
+@pytest.mark.parametrize("sketch", [20, 200])
+def test_quantiles_of_a_coarse_sketch(spark, skewed, sketch, monkeypatch):
+    """Narrow spans, as groups of many rows have them, give the same values."""
+    monkeypatch.setattr(kernels, "SKETCH", sketch)
+    monkeypatch.setattr(kernels, "REACHES", (3 / sketch, 0.3))
     check_quantiles(spark, skewed)
 
 
-def test_quantiles_extreme_range(spark, large_route):
+def test_quantiles_missed_by_the_sketch(spark, skewed, monkeypatch):
+    monkeypatch.setattr(kernels, "_spans", lambda group, at, probs: [(group["hi"], group["hi"])])
+    check_quantiles(spark, skewed)
+
+
+def test_quantiles_of_null_groups_and_one_row(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("b", None)], "k string, v double")
+    got = {r["k"]: (r["n"], r["q"]) for r in kernels.quantiles(df, ["k"], "v", (0.0, 0.5, 1.0)).collect()}
+    assert got == {None: (2, [1.0, 2.0, 3.0]), "a": (1, [5.0, 5.0, 5.0])}
+    assert kernels.quantiles(df.where("v > 9"), ["k"], "v", (0.5,)).collect() == []
+
+
+def test_quantiles_extreme_range(spark):
     pdf = pd.DataFrame({"v": [-1.7e308, -1e-300, 0.0, 1e-300, 1.0, 1.7e308] * 5})
     df = spark.createDataFrame(pdf).withColumn("k", F.lit("a"))
     q = kernels.quantiles(df, ["k"], "v", (0.25, 0.5)).first()["q"]
@@ -69,10 +74,7 @@ def rank_correlation(pdf, a, b):
     return d[a].corr(d[b])
 
 
-@pytest.mark.parametrize("route", ["plain", "large"])
-def test_spearman_with_gaps(spark, skewed, route, request):
-    if route == "large":
-        request.getfixturevalue("large_route")
+def test_spearman_with_gaps(spark, skewed):
     pdf = skewed.assign(u=np.exp(skewed.w.fillna(0)) + skewed.k)
     df = spark.createDataFrame(pdf)
     found = relate.spearman(df, ["v", "w", "u"])
@@ -82,22 +84,20 @@ def test_spearman_with_gaps(spark, skewed, route, request):
         assert p["n"] == len(pdf[[p["a"], p["b"]]].dropna())
 
 
-def test_ranks_keep_every_row_under_skew(spark, large_route):
-    """Hot values and nulls take the salted side of the join and keep their ranks."""
-    pdf = pd.DataFrame({"v": [1.0] * 4000 + list(np.arange(2000) + 2.0)})
-    df = spark.createDataFrame(pdf).repartition(4).withColumn("v", F.when(F.col("v") != 3, F.col("v")))
-    n_values, n_rows = kernels.distinct_sizes(df, ["v"])["v"]
-    lookup = kernels.average_ranks(df, "v", {"r": None}, n_values)
-    out = kernels.join_by_value(df, "v", lookup, "_value", ["r"], n_values, n_rows).toPandas()
-    assert len(out) == 6000 and out.r.isna().sum() == 1
-    want = out.v.rank()
-    assert (out.r.fillna(-1) == want.fillna(-1)).all()
+def test_ranks_of_every_row_under_skew(spark):
+    """A hot value, nulls and partners with and without gaps: ranks among the rows where both are present."""
+    pdf = pd.DataFrame({"v": [1.0] * 400 + list(np.arange(200) % 90 + 2.0), "u": np.arange(600) % 11 - 0.0, "w": np.arange(600) % 7 + 0.5})
+    pdf.loc[pdf.index % 3 == 0, "u"] = np.nan
+    pdf.loc[pdf.index % 4 == 1, "v"] = np.nan
+    df = spark.createDataFrame(pdf).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "vuw"]).repartition(4)
+    got = kernels.rank_pairs(df, ["v", "u", "w"], ["v", "u"]).toPandas()
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        want = pdf[["vuw"[i], "vuw"[j]]].dropna().rank()
+        want = sorted(map(tuple, want.to_numpy()))
+        assert sorted(map(tuple, got[(got.i == i) & (got.j == j)][["x", "y"]].to_numpy())) == want
 
 
-@pytest.mark.parametrize("route", ["plain", "large"])
-def test_sample_is_exact_and_repeatable(spark, route, request):
-    if route == "large":
-        request.getfixturevalue("large_route")
+def test_sample_is_exact_and_repeatable(spark):
     df = spark.range(5000).select("id", (F.col("id") % 3).alias("k"))
     first = {r["id"] for r in kernels.sample_rows(df, 400, 5000, ["id"]).collect()}
     again = {r["id"] for r in kernels.sample_rows(df.repartition(7), 400, 5000, ["id"]).collect()}
@@ -110,10 +110,7 @@ def test_sample_is_spread(spark):
     assert 4500 < np.mean(ids) < 5500
 
 
-@pytest.mark.parametrize("route", ["plain", "large"])
-def test_duplicates(spark, route, request):
-    if route == "large":
-        request.getfixturevalue("large_route")
+def test_duplicates(spark):
     pdf = pd.DataFrame({"a": ["x", "x", "y", None, None, "x", "z"] * 20, "b": [1.0, 1.0, 2.0, None, None, 1.0, 3.0] * 20})
     pdf["b"] += np.where(pdf.index >= 70, 0.0, pdf.index // 35)
     df = spark.createDataFrame(pdf.assign(_row=np.arange(1, 141)))
@@ -134,10 +131,7 @@ def test_top_labels_ties_and_other(spark):
     assert kernels.top_labels(df, "g", 9)[1] == ["a", "b", "(missing)", "Other", "c"]
 
 
-@pytest.mark.parametrize("route", ["plain", "large"])
-def test_report_numbers_do_not_depend_on_the_route(spark, route, request):
-    if route == "large":
-        request.getfixturevalue("large_route")
+def test_report_numbers_do_not_depend_on_the_route(spark):
     d = "/root/testdata/sf0.001"
     ev = inputs.table(spark, d, "events")
     pdf = ev.select("value").toPandas()
