@@ -70,6 +70,11 @@ PATTERNS = dict(DATE_FORMATS)
 _STAMP = r"^\d{4}-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|UTC|[+-]\d{2}(:?\d{2})?)?)?)?$"
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark reads it, whatever dots, blanks or backticks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def strip_blanks(c: Column) -> Column:
     """Trim every Unicode blank, not only the space character."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -91,7 +96,11 @@ def to_number(c: Column, decimal_comma: bool = False) -> Column:
     else:
         bare = F.translate(bare, ",", "")
     bare = F.regexp_replace(bare, r"^\((.*)\)$", "-$1")
-    return finite(F.when(bare.rlike(NUMBER), bare.try_cast("double")))
+    read = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+    if decimal_comma:
+        return finite(read)
+    # most numbers are written plainly and need no replacement
+    return finite(F.when(c.rlike(NUMBER), c.try_cast("double")).otherwise(read))
 
 
 def finite(c: Column) -> Column:

@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from profila.functions.text import quoted
+
 ROW = "_row"  # 1-based row number in source order; carried along, never analysed
 EXACT = "_exact:"  # prefix of the source values of numbers that a double cannot tell apart
 
@@ -91,7 +93,7 @@ class Dataset:
     @classmethod
     def split(cls, name: str, whole: DataFrame, columns: list[Column], rows: int, load_report: DataFrame | None = None):
         """From a whole table: ``table`` is its profiled part."""
-        table = whole.select(ROW, *[f"`{c.name}`" for c in columns])
+        table = whole.select(ROW, *[quoted(c.name) for c in columns])
         return cls(name, table, columns, rows, load_report, whole)
 
     @property

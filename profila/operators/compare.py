@@ -49,7 +49,8 @@ def compare_numeric(a: Dataset, b: Dataset) -> DataFrame:
 
 
 def compare_categorical(a: Dataset, b: Dataset) -> DataFrame:
-    """Levels and mode on both sides, labels that appear or vanish (8 shown)."""
+    """Levels and mode on both sides, labels that appear or vanish: their number and 8
+    to show; ``compare_labels`` has all."""
     cols = shared(a, b, CATEGORICAL)
     if not cols:
         return a.spark.createDataFrame(
@@ -61,12 +62,7 @@ def compare_categorical(a: Dataset, b: Dataset) -> DataFrame:
             "column", F.col("unique").alias(f"unique_{s}"), F.col("mode").alias(f"top_{s}"),
             F.col("mode_pct").alias(f"top_{s}_pct"))
 
-    # labels of both sides meet once in a shuffle of distinct labels
-    met = (
-        label_counts(a.table, cols).select("column", "label", F.lit("a").alias("side"))
-        .unionByName(label_counts(b.table, cols).select("column", "label", F.lit("b").alias("side")))
-        .groupBy("column", "label").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
-        .where("lo = hi"))
+    met = _one_sided(a, b, cols)
     counts = met.groupBy("column").agg(
         F.count_if(F.col("lo") == "b").alias("new_count"), F.count_if(F.col("lo") == "a").alias("missing_count"))
     shown = first_rows(met, SHOWN_LABELS, ["column", "lo"], [F.col("label")]).groupBy("column").agg(
@@ -81,6 +77,23 @@ def compare_categorical(a: Dataset, b: Dataset) -> DataFrame:
                 F.coalesce("missing_in_b", none).alias("missing_in_b")))
 
 
+def compare_labels(a: Dataset, b: Dataset) -> DataFrame:
+    """(column, label, side): every label of a shared category that only one side has, a row each."""
+    cols = shared(a, b, CATEGORICAL)
+    if not cols:
+        return a.spark.createDataFrame([], "column string, label string, side string")
+    return _one_sided(a, b, cols).select("column", "label", F.col("lo").alias("side"))
+
+
+def _one_sided(a: Dataset, b: Dataset, cols: list[str]) -> DataFrame:
+    """Labels of both sides meet once in a shuffle of distinct labels."""
+    return (
+        label_counts(a.table, cols).select("column", "label", F.lit("a").alias("side"))
+        .unionByName(label_counts(b.table, cols).select("column", "label", F.lit("b").alias("side")))
+        .groupBy("column", "label").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
+        .where("lo = hi"))
+
+
 def compare_overview(a: Dataset, b: Dataset) -> DataFrame:
     """Size, missing share and duplicate rows of both sides."""
     def side(s: str, ds: Dataset):

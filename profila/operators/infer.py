@@ -15,18 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from profila.functions.text import quoted
 from profila.functions import text
 from profila.functions.labels import value_text
 from profila.model import CATEGORICAL, DATETIME, EXACT, IDENTIFIER, NUMERIC, ROW, TEXT, Column
 from profila.operators.kernels import first_rows, number, numbers, value_counts
-from profila.session import together
+from profila.session import staging_path, together
 
 NUMERIC_SHARE = 0.95
 DATE_SHARE = 0.9
 EXAMPLES = 5
-VARIANT_GROUPS = 10
-ABBREVIATIONS = 10
-ABBREVIATION_LEVELS = 50
 EXACT_LIMIT = 1 << 53  # whole numbers below it have doubles of their own
 EXACT_DIGITS = 15      # so have decimals of so many digits
 
@@ -58,7 +56,7 @@ def infer(
     strings = [f.name for f in fields
                if f.name not in native and isinstance(f.dataType, (T.StringType, T.BooleanType))]
     raw = raw.select(ROW, *[
-        F.col(f"`{f.name}`").cast("string").alias(f.name) if f.name in strings else F.col(f"`{f.name}`")
+        F.col(quoted(f.name)).cast("string").alias(f.name) if f.name in strings else F.col(quoted(f.name))
         for f in fields])
     others = [f.name for f in fields if f.name not in native and f.name not in strings]  # these have no profile
     fields = [f for f in fields if f.name in native or f.name in strings]
@@ -67,7 +65,7 @@ def infer(
     columns = {f.name: Column(f.name, i) for i, f in enumerate(fields)}
     formats: dict[str, str] = {}
     if strings:
-        distinct = value_counts(raw.select(ROW, *[f"`{c}`" for c in strings]), strings, first=ROW)
+        distinct = value_counts(raw.select(ROW, *[quoted(c) for c in strings]), strings, first=ROW)
         distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             formats = _profile_strings(distinct, [columns[c] for c in strings], decimal_comma)
@@ -76,12 +74,17 @@ def infer(
     for name, kind in native.items():
         columns[name].type = kind
 
-    shown = {c.name: _typed(raw, c, f"`{c.name}`", formats, decimal_comma, c.name in native) for c in columns.values()}
+    shown = {c.name: _typed(raw, c, F.col(quoted(c.name)), formats, decimal_comma, c.name in native) for c in columns.values()}
     exact = [(c.name, _exact(raw, c.name, shown[c.name])) for c in columns.values() if c.type == NUMERIC]
     whole_table = raw.select(
-        ROW, *[value.alias(name) for name, value in shown.items()], *[f"`{o}`" for o in others],
+        ROW, *[value.alias(name) for name, value in shown.items()], *[quoted(o) for o in others],
         *[value.alias(EXACT + name) for name, value in exact if value is not None])
-    typed = whole_table.select(ROW, *[f"`{name}`" for name in shown])
+    if any(columns[name].type in (NUMERIC, DATETIME) for name in strings):
+        # text is read as numbers and dates once; all that follows is columnar
+        path = staging_path(raw.sparkSession, "typed")
+        whole_table.write.parquet(path)
+        whole_table = raw.sparkSession.read.schema(whole_table.schema).parquet(path)
+    typed = whole_table.select(ROW, *[quoted(name) for name in shown])
     together(
         raw.sparkSession,
         lambda: _profile_numbers(typed, [c for c in columns.values() if c.type == NUMERIC], native),
@@ -95,22 +98,23 @@ def infer(
 
 def _exact(raw: DataFrame, name: str, double: SparkColumn) -> SparkColumn | None:
     """The source value where other values may share its double, else null; None if that can't be."""
-    c, dtype = F.col(f"`{name}`"), raw.schema[name].dataType
+    c, dtype = F.col(quoted(name)), raw.schema[name].dataType
     if isinstance(dtype, T.LongType):
         return F.when((c >= EXACT_LIMIT) | (c <= -EXACT_LIMIT), c)
     if isinstance(dtype, T.DecimalType) and dtype.precision > EXACT_DIGITS:
         return F.when(~F.coalesce(c.cast("double").try_cast(dtype) == c, F.lit(False)), c)
     if isinstance(dtype, T.StringType):
-        return F.when(double.isNotNull() & (F.length(F.regexp_replace(c, "[^0-9]", "")) > EXACT_DIGITS), c)
+        return F.when((F.length(c) > EXACT_DIGITS) & double.isNotNull() & (
+            F.length(F.regexp_replace(c, "[^0-9]", "")) > EXACT_DIGITS), c)
     return None
 
 
-def _typed(raw, c: Column, quoted: str, formats, decimal_comma, native: bool) -> SparkColumn:
+def _typed(raw, c: Column, cell: SparkColumn, formats, decimal_comma, native: bool) -> SparkColumn:
     if c.type == NUMERIC:
-        return number(raw, c.name) if native else text.to_number(F.col(quoted), decimal_comma)
+        return number(raw, c.name) if native else text.to_number(cell, decimal_comma)
     if c.type == DATETIME:
-        return F.col(quoted).cast("timestamp_ntz") if native else text.to_date(F.col(quoted), formats[c.name])
-    return F.col(quoted)
+        return cell.cast("timestamp_ntz") if native else text.to_date(cell, formats[c.name])
+    return cell
 
 
 # --- strings -----------------------------------------------------------------------------
@@ -243,19 +247,22 @@ def _add_invalid(distinct, columns: list[Column], formats, decimal_comma) -> Non
         by_name[r["column"]].invalid_examples.append(r["value"])
 
 
-def case_variants(distinct: DataFrame, limit: int = VARIANT_GROUPS) -> DataFrame:
-    """Spellings that differ only in capitals: (column, spellings, first)."""
+def _numbered(groups: DataFrame, order: Sequence[SparkColumn], limit: int | None) -> DataFrame:
+    return first_rows(groups, limit or (1 << 31) - 1, ["column"], order).withColumnRenamed("_nth", "position")
+
+
+def case_variants(distinct: DataFrame, limit: int | None = None) -> DataFrame:
+    """Spellings that differ only in capitals: (column, position, spellings), all of them unless limited."""
     groups = distinct.groupBy("column", F.lower("value").alias("folded")).agg(
         F.count("*").alias("k"), F.sort_array(F.collect_list("value")).alias("spellings"),
         F.min("first").alias("first")).where("k > 1")
-    return first_rows(groups, limit, ["column"], [F.col("first"), F.col("folded")]).select(
-        "column", F.col("_nth").alias("position"), "spellings")
+    return _numbered(groups, [F.col("first"), F.col("folded")], limit).select("column", "position", "spellings")
 
 
-def abbreviations(distinct: DataFrame, limit: int = ABBREVIATIONS) -> DataFrame:
-    """One- or two-letter values that begin exactly one longer value of the column.
+def abbreviations(distinct: DataFrame, limit: int | None = None) -> DataFrame:
+    """One- or two-letter values that begin exactly one longer value of the column: an equality join on the prefix.
 
-    An equality join on the prefix; meant for columns of at most 50 distinct values.
+    Longer values are counted per prefix before they meet, so a common first letter is no hot key.
     """
     size, folded = F.length("value"), F.lower("value")
     short = distinct.where(size.between(1, 2)).select(
@@ -263,21 +270,19 @@ def abbreviations(distinct: DataFrame, limit: int = ABBREVIATIONS) -> DataFrame:
     longer = distinct.where(size > 2).select(
         "column", F.col("value").alias("long"),
         F.explode(F.array(F.substring(folded, 1, 1), F.substring(folded, 1, 2))).alias("prefix"))
-    single = short.join(longer, ["column", "prefix"]).groupBy("column", "short", "first").agg(
-        F.count("*").alias("k"), F.first("long").alias("long")).where("k = 1")
-    return first_rows(single, limit, ["column"], [F.col("first"), F.col("short")]).select(
-        "column", F.col("_nth").alias("position"), "short", "long")
+    single = longer.groupBy("column", "prefix").agg(F.count("*").alias("k"), F.first("long").alias("long")).where("k = 1")
+    return _numbered(short.join(single, ["column", "prefix"]), [F.col("first"), F.col("short")], limit).select(
+        "column", "position", "short", "long")
 
 
 def _add_spellings(distinct, by_name: dict[str, Column]) -> None:
     if not by_name:
         return
     cats = distinct.where(F.col("column").isin(list(by_name)))
-    few = [n for n, c in by_name.items() if c.unique <= ABBREVIATION_LEVELS]
     variants, short = together(
         distinct.sparkSession,
         lambda: case_variants(cats).orderBy("column", "position").collect(),
-        lambda: abbreviations(cats.where(F.col("column").isin(few))).orderBy("column", "position").collect())
+        lambda: abbreviations(cats).orderBy("column", "position").collect())
     for r in variants:
         by_name[r["column"]].case_variants.append(list(r["spellings"]))
     for r in short:
@@ -350,7 +355,7 @@ def _profile_dates(typed: DataFrame, columns: list[Column], native) -> None:
     if not columns:
         return
     names = [c.name for c in columns]
-    distinct = value_counts(typed.select(ROW, *[f"`{n}`" for n in names]), names, first=ROW)
+    distinct = value_counts(typed.select(ROW, *[quoted(n) for n in names]), names, first=ROW)
     metrics = {r["column"]: r for r in distinct.groupBy("column").agg(
         F.sum("n").alias("valid"), F.count("*").alias("unique"),
         F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}

@@ -8,6 +8,7 @@ stays distributed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,16 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profila.functions.labels import OTHER, label, value_text
-from profila.functions.text import finite
+from profila.functions.text import finite, quoted
 from profila.session import staging_path
 
-SKETCH = 20_000              # a quantile of the sketch is off by one in so many ranks at most
+SKETCH = 10_000              # a quantile of the sketch is off by one in so many ranks at most
 REACHES = (3 / SKETCH, 0.03)  # half widths of the spans around wanted ranks, as shares of a group
 
 
 def number(df: DataFrame, name: str) -> Column:
     """A column as double without NaN or infinities."""
-    c = F.col(f"`{name}`").cast("double")
+    c = F.col(quoted(name)).cast("double")
     floating = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
     return finite(c) if floating else c
 
@@ -37,7 +38,7 @@ def numbers(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
 
 def long_form(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
     """(keep..., column, value), one row per cell, nulls included."""
-    return df.unpivot(list(keep), list(cols), "column", "value")
+    return df.unpivot([quoted(k) for k in keep], [quoted(c) for c in cols], "column", "value")
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def _selected(rows, keys, spans, groups, probs) -> dict[tuple, list[float | None
     table = rows.sparkSession.createDataFrame(bounds, T.StructType([
         *[T.StructField(f"_key{i}", rows.schema[k].dataType) for i, k in enumerate(keys)], T.StructField("_n", T.LongType()),
         *[T.StructField(n, T.DoubleType()) for n in names]]))
-    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(quoted(k)).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
     near = rows.join(F.broadcast(table), same)
     v = F.col("_v")
     begun = sum((F.coalesce(v >= F.col(f"_lo{i}"), F.lit(False)).cast("int") for i in range(most)), F.lit(0))
@@ -132,7 +133,7 @@ def value_counts(df: DataFrame, cols: Sequence[str], *, first: str | None = None
 
 
 def labelled(df: DataFrame, name: str, keep_missing: bool = True) -> Column:
-    c, dtype = F.col(f"`{name}`"), df.schema[name].dataType
+    c, dtype = F.col(quoted(name)), df.schema[name].dataType
     return label(c, dtype) if keep_missing else value_text(c, dtype)
 
 
@@ -164,11 +165,11 @@ def label_table(spark, labels: Sequence[str], name: str, position: str) -> DataF
 def running_totals(values: DataFrame, group: str, value: str, counts: Sequence[str]) -> DataFrame:
     """Add ``upto_<count>``: the running sum of each count over the distinct values of each group, in value order.
 
-    All groups are range-partitioned once by (group, value) and written, so that partition membership is
-    fixed. Sums inside a partition are shifted by those of the partitions before.
+    ``values`` are range-partitioned by (group, value), all groups together. They are written, so that partition
+    membership is fixed. Sums inside a partition are shifted by those of the partitions before.
     """
     path = staging_path(values.sparkSession, "ranks")
-    values.repartitionByRange(group, value).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    values.withColumn("_part", F.spark_partition_id()).write.parquet(path)
     parts = values.sparkSession.read.parquet(path)
     before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
     shifts = parts.groupBy(group, "_part").agg(*[F.sum(c).alias(f"in_{c}") for c in counts]).select(
@@ -179,48 +180,59 @@ def running_totals(values: DataFrame, group: str, value: str, counts: Sequence[s
         *[(F.sum(c).over(inside) + F.col(f"shift_{c}")).alias(f"upto_{c}") for c in counts])
 
 
-def rank_pairs(df: DataFrame, cols: Sequence[str], gappy: Sequence[str]) -> DataFrame:
-    """(i, j, x, y): for every row and every pair of columns present in it, the average ranks of both values
-    among the rows where both are present.
+@dataclass
+class RankTable:
+    """Per row the average ranks of its values; ``rank(i, j)`` is column i's rank among the rows where j is present."""
+
+    rows: DataFrame
+    slots: dict[int, int]  # place of a partner's ranks; partners without gaps have place 0
+
+    def rank(self, i: int, j: int) -> Column:
+        return F.get(f"r{i}", F.lit(self.slots.get(j, 0))) if self.slots else F.col(f"r{i}")
+
+
+def rank_table(df: DataFrame, cols: Sequence[str], gappy: Sequence[str], row: str | None = None) -> RankTable:
+    """Ranks of all columns, next to every partner.
 
     ``gappy`` names the columns with missing values. A row's bitmask of those, as a string, is a dimension of
     one histogram (column, value, mask, count) for all columns; a value's rank next to a partner counts the
     masks that hold the partner. Ranks meet the cells in one join and the cells their row in one shuffle,
-    whatever the number of columns.
+    whatever the number of columns. ``row`` names a column that is unique per row; without one the rows are
+    written first, so that numbers given to them hold.
     """
     spark = df.sparkSession
-    path = staging_path(spark, "rank-rows")
-    df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).withColumn(
-        "id", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    slots = {cols.index(c): k + 1 for k, c in enumerate(gappy)}  # place of a partner's ranks; 0 for partners without gaps
+    rows = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(cols)],
+                     (F.col(quoted(row)) if row else F.monotonically_increasing_id()).alias("id"))
+    if row is None:
+        path = staging_path(spark, "rank-rows")
+        rows.write.parquet(path)
+        rows = spark.read.parquet(path)
+    slots = {cols.index(c): k + 1 for k, c in enumerate(gappy)}
     present = [F.when(F.col(f"c{i}").isNull(), "0").otherwise("1") for i in slots]
-    masked = rows.withColumn("mask", F.concat(*present) if present else F.lit(""))
-    cells = masked.select("id", "mask", F.explode(F.array(*[
+    mask = [F.concat(*present).alias("mask")] if present else []
+    cells = rows.select("id", *mask, F.explode(F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(f"c{i}").alias("value")) for i in range(len(cols))])).alias("cell")).select(
-        "id", "mask", "cell.c", "cell.value").where("value is not null")
-    counted = cells.groupBy("c", "value", "mask").agg(F.count("*").alias("n"))
+        "id", *["mask"][: len(mask)], "cell.c", "cell.value").where("value is not null")
     names = [f"n{k}" for k in range(len(slots) + 1)]
-    seen = counted.groupBy("c", "value").agg(F.sum("n").alias("n0"), *[
-        F.sum(F.when(F.substring("mask", k, 1) == "1", F.col("n")).otherwise(0)).alias(f"n{k}") for k in slots.values()])
-    ranks = running_totals(seen, "c", "value", names).select(
-        "c", "value", F.array(*[F.col(f"upto_{n}") - (F.col(n) - 1) / 2 for n in names]).alias("ranks"))
-    whole = cells.join(ranks, ["c", "value"]).groupBy("id").agg(F.collect_list(F.struct("c", "ranks")).alias("cells"))
-    slot = F.array(*[F.lit(slots.get(i, 0)) for i in range(len(cols))])
-
-    def beside(a: Column) -> Column:
-        return F.transform(F.filter("cells", lambda b: b["c"] > a["c"]), lambda b: F.struct(
-            a["c"].alias("i"), b["c"].alias("j"), F.get(a["ranks"], F.get(slot, b["c"])).alias("x"),
-            F.get(b["ranks"], F.get(slot, a["c"])).alias("y")))
-
-    return whole.select(F.inline(F.flatten(F.transform("cells", beside))))
+    seen = cells.groupBy("c", "value", *["mask"][: len(mask)]).agg(F.count("*").alias("n0"))
+    if slots:
+        # the range partitioning keeps equal values together, so this aggregate needs no shuffle of its own
+        seen = seen.repartitionByRange("c", "value").groupBy("c", "value").agg(F.sum("n0").alias("n0"), *[
+            F.sum(F.when(F.substring("mask", k, 1) == "1", F.col("n0")).otherwise(0)).alias(f"n{k}") for k in slots.values()])
+    else:
+        seen = seen.repartitionByRange("c", "value")
+    ranks = [F.col(f"upto_{n}") - (F.col(n) - 1) / 2 for n in names]
+    looked_up = running_totals(seen, "c", "value", names).select(
+        "c", "value", (F.array(*ranks) if slots else ranks[0]).alias("r"))
+    return RankTable(cells.join(looked_up, ["c", "value"]).groupBy("id").agg(*[
+        F.max(F.when(F.col("c") == i, F.col("r"))).alias(f"r{i}") for i in range(len(cols))]), slots)
 
 
 # --- samples -----------------------------------------------------------------------------
 
 def drawing_order(keys: Sequence[str | Column], seed: int = 42) -> Column:
     """The hash by which rows are drawn: hexadecimal MD5 of seed and keys, joined by bars."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(f"`{k}`") if isinstance(k, str) else k).cast("string") for k in keys]))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(quoted(k)) if isinstance(k, str) else k).cast("string") for k in keys]))
 
 
 def sample_rows(df: DataFrame, n: int, total: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -239,7 +251,7 @@ def sample_rows(df: DataFrame, n: int, total: int, keys: Sequence[str], seed: in
         if kept.count() >= n:
             break
         share, kept = share * 4, hashed
-    return kept.orderBy("_hash", *[F.col(f"`{k}`") for k in keys]).limit(n).drop("_hash")
+    return kept.orderBy("_hash", *[F.col(quoted(k)) for k in keys]).limit(n).drop("_hash")
 
 
 def first_rows(df: DataFrame, n: int, by: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from profila.functions.text import quoted
 from profila.operators.kernels import number, quantiles, settled
 
 AGGREGATES = ("sum", "mean", "median", "min", "max", "count")
 MAX_PERIODS = 5000
-MAX_DAILY_SPAN = 365 * 30
-MAX_ANOMALIES = 25
 # --- fixed values: per frequency (name, date_trunc unit, step, window, unit word, days) ---
 FREQUENCIES = {
     "D": ("Daily", "day", "1 day", 7, "day", 1),
@@ -131,10 +130,10 @@ class TimeSeries:
                    (F.col("last_value") - F.col("first_value")) / F.abs("first_value") * 100
                    ).alias("first_to_last_pct"))
 
-    def anomalies(self) -> DataFrame:
-        """(period, value, expected, direction): first 25 periods far off the rolling median.
+    def anomalies(self, limit: int | None = None) -> DataFrame:
+        """(period, value, expected, direction): the periods far off the rolling median, all of them unless limited.
 
-        All windows run over the present periods, a few thousand at most.
+        All windows run over the present periods, which the calendar bounds.
         """
         w = self.window
         around = W.orderBy("period").rowsBetween(-w, w)
@@ -154,10 +153,10 @@ class TimeSeries:
         robust = F.abs(0.6745 * F.col("off") / F.col("mad")) > 3.5
         plain = F.abs((F.col("resid") - F.col("mean")) / F.col("sd")) > 3.0
         far = F.when(F.col("mad") > 0, robust).when(F.col("sd") > 0, plain).otherwise(False)
-        return spread.where(far).select(
+        found = spread.where(far).select(
             "period", "value", "expected",
-            F.when(F.col("resid") > 0, "above").otherwise("below").alias("direction"),
-        ).orderBy("period").limit(MAX_ANOMALIES)
+            F.when(F.col("resid") > 0, "above").otherwise("below").alias("direction")).orderBy("period")
+        return found if limit is None else found.limit(limit)
 
     def season_month(self) -> DataFrame:
         """Mean of the monthly values per calendar month, from 12 months on."""
@@ -165,8 +164,7 @@ class TimeSeries:
 
     def season_weekday(self) -> DataFrame:
         """Mean of the daily values per weekday, from 14 days on that cover all weekdays."""
-        daily = self.resample("D") if self.span_days <= MAX_DAILY_SPAN else self.resample("Y").where("false")
-        return _season(daily, F.weekday("period"), WEEKDAYS, 14, 7)
+        return _season(self.resample("D"), F.weekday("period"), WEEKDAYS, 14, 7)
 
     def season_hour(self) -> DataFrame:
         """The aggregate of the rows per hour of day, when there is more than one hour."""
@@ -207,14 +205,18 @@ def auto_frequency(span_days: int) -> str:
 
 def timeseries(
     df: DataFrame, date: str, value: str | None = None, agg: str = "sum", freq: str = "auto",
+    max_periods: int | None = MAX_PERIODS,
 ) -> TimeSeries:
-    """Prepare a series: check the arguments, count what is dropped, settle the frequency."""
+    """Prepare a series: check the arguments, count what is dropped, settle the frequency.
+
+    ``max_periods`` refuses resolutions meant for no chart; None answers any.
+    """
     if agg not in AGGREGATES:
         raise ValueError("Unknown aggregation.")
     if value is None:
         agg = "count"
     v = number(df, value) if value else F.lit(1.0)
-    rows = df.select(F.col(f"`{date}`").cast("timestamp_ntz").alias("date"), v.alias("v"))
+    rows = df.select(F.col(quoted(date)).cast("timestamp_ntz").alias("date"), v.alias("v"))
     used = rows.where("date is not null and v is not null")
     s = rows.agg(
         F.count_if(F.col("date").isNull()).alias("no_date"),
@@ -230,7 +232,7 @@ def timeseries(
     if freq not in FREQUENCIES:
         raise ValueError("Unknown frequency.")
     about = span / FREQUENCIES[freq][5]
-    if about > MAX_PERIODS:
+    if max_periods is not None and about > max_periods:
         raise ValueError(
             f"{FREQUENCIES[freq][0]} resolution would create about {int(about):,} points. "
             "Choose a coarser frequency.")

@@ -81,6 +81,61 @@ def segments(spark, folder) -> DataFrame:
         F.when(key % 11 == 0, F.lower(seg)).when(key % 13 == 0, F.substring(seg, 1, 1)).otherwise(seg).alias("segment"))
 
 
+def short_segments(spark, folder) -> DataFrame:
+    """Customer segments per order, some shortened to their first one or two letters."""
+    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    key, seg = F.col("o_orderkey"), F.col("c_mktsegment")
+    return o.join(c, "o_custkey").select(key.alias(ROW), F.when(key % 13 == 0, F.substring(seg, 1, 1)).when(
+        key % 17 == 0, F.lower(F.substring(seg, 1, 2))).otherwise(seg).alias("segment"))
+
+
+def parts_split(spark, folder):
+    """Parts of small and of other sizes; only the names of some brands occur on both sides."""
+    p = table(spark, folder, "part").withColumn(ROW, F.col("p_partkey"))
+    low = F.col("p_size") <= 25
+    label = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(
+        F.concat(F.when(low, "small ").otherwise("large "), F.col("p_brand"))).alias("brand")
+    return [("small", p.where(low).select(ROW, label, "p_size")), ("large", p.where(~low).select(ROW, label, "p_size"))]
+
+
+ODD_NAMES = ["S.No", "price.usd", "a", "a", "A", "b`t", "", "x  y"]
+
+
+def odd_csv(spark, folder) -> str:
+    """Orders as a comma-separated file with an odd header; every value column is the price times its place."""
+    o = table(spark, folder, "orders")
+    cells = [F.col("o_orderkey").cast("string")] + [
+        (F.col("o_totalprice").cast("decimal(12,2)") * i).cast("string") for i in range(1, len(ODD_NAMES))]
+    head = spark.createDataFrame([(",".join(ODD_NAMES),)], "value string")
+    path = staging_path(spark, "odd-text")
+    # one file, so that its header comes first
+    head.unionByName(o.select(F.concat_ws(",", *cells).alias("value"))).coalesce(1).write.text(path)
+    return path
+
+
+def late_comma_csv(spark, folder) -> str:
+    """Whole numbers, of which one in a hundred has a decimal comma; early notes are runs of commas."""
+    key = F.col("o_orderkey")
+    path = staging_path(spark, "late-text")
+    table(spark, folder, "orders").select(
+        key.cast("string").alias("key"),
+        F.concat(key.cast("string"), F.when(key % 100 == 0, ",5").otherwise("")).alias("val"),
+        F.when(key <= 300, F.concat(F.lit("a,b,c,"), key.cast("string"))).otherwise("none so far").alias("note"),
+    ).write.option("header", True).option("sep", ";").csv(path)
+    return path
+
+
+def odd_parquet(spark, folder) -> str:
+    o = table(spark, folder, "orders")
+    path = staging_path(spark, "odd-parquet")
+    o.select(
+        F.col("o_orderkey").alias("o.key"), F.col("o_totalprice").alias("`price`"),
+        (-F.col("o_totalprice")).alias("PRICE"), F.col("o_orderstatus").alias("Status."),
+        F.col("o_orderpriority").alias("status.")).write.parquet(path)
+    return path
+
+
 def orders(spark, folder) -> Dataset:
     return profile_table("orders", table(spark, folder, "orders"), row="o_orderkey")
 

@@ -208,14 +208,19 @@ CASE_VARIANTS = f"""
 SELECT 'segment' AS "column", (row_number() OVER (ORDER BY r, folded))::INT AS position, spellings
 FROM (SELECT lower(v) AS folded, string_agg(v, ' | ' ORDER BY v) AS spellings, min(r) AS r, count(*) AS k
   FROM (SELECT segment AS v, min(_row) AS r FROM ({SEGMENTS}) GROUP BY 1) GROUP BY 1)
-WHERE k > 1 QUALIFY position <= 10"""
+WHERE k > 1"""
 
+_SHORTENED = """
+SELECT 'segment' AS c, CASE WHEN o_orderkey % 13 = 0 THEN substr(c_mktsegment, 1, 1)
+  WHEN o_orderkey % 17 = 0 THEN lower(substr(c_mktsegment, 1, 2)) ELSE c_mktsegment END AS v, o_orderkey AS r
+FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'p_name', CASE WHEN p_partkey % 9 = 0 THEN substr(p_name, 1, 1) ELSE p_name END, p_partkey FROM part"""
 ABBREVIATIONS = f"""
-WITH u AS (SELECT segment AS v, min(_row) AS r FROM ({SEGMENTS}) GROUP BY 1)
-SELECT 'segment' AS "column", (row_number() OVER (ORDER BY r, short))::INT AS position, short, long
-FROM (SELECT s.v AS short, s.r, min(l.v) AS long, count(*) AS k FROM u s JOIN u l
-  ON length(s.v) BETWEEN 1 AND 2 AND length(l.v) > 2 AND starts_with(lower(l.v), lower(s.v)) GROUP BY s.v, s.r)
-WHERE k = 1 QUALIFY position <= 10"""
+WITH u AS (SELECT c, v, min(r) AS r FROM ({_SHORTENED}) GROUP BY 1, 2)
+SELECT c AS "column", (row_number() OVER (PARTITION BY c ORDER BY r, short))::INT AS position, short, long
+FROM (SELECT s.c, s.v AS short, s.r, min(l.v) AS long, count(*) AS k FROM u s JOIN u l
+  ON s.c = l.c AND length(s.v) BETWEEN 1 AND 2 AND length(l.v) > 2 AND starts_with(lower(l.v), lower(s.v)) GROUP BY ALL)
+WHERE k = 1"""
 
 SAMPLE_VALUES = union(
     f"""SELECT '{c}' AS "column", (row_number() OVER (ORDER BY r, v))::INT AS position, v AS value
@@ -246,6 +251,26 @@ SELECT 'UTF-8' AS encoding, 'semicolon' AS delimiter, count(*)::BIGINT AS rows_r
   (count(*) FILTER (o_orderkey % 40 = 7))::VARCHAR || ' completely empty row(s) were removed. | 1 completely empty column(s) were removed: nothing. | Leading/trailing spaces were trimmed in 1 column(s).' AS notes
 FROM orders"""
 
+CSV_ODD_HEADERS = union(
+    f"""SELECT {sql_name} AS name, {"'identifier'" if i == 0 else "'numeric'"} AS type, count(*)::BIGINT AS non_null, count(*)::BIGINT AS "count",
+  round(avg(v), 4) AS mean, max(v) AS max FROM (SELECT {"o_orderkey::DOUBLE" if i == 0 else f"(o_totalprice::DECIMAL(12,2) * {i})::DOUBLE"} AS v FROM orders)"""
+    for i, sql_name in enumerate(("'S.No'", "'price.usd'", "'a'", "'a.1'", "'A'", "'b`t'", "'column_7'", "'x y'")))
+CSV_LATE_COMMA = """
+SELECT o_orderkey::DOUBLE AS key, CASE WHEN o_orderkey % 100 = 0 THEN o_orderkey + 0.5 ELSE o_orderkey END::DOUBLE AS val,
+  CASE WHEN o_orderkey <= 300 THEN 'a,b,c,' || o_orderkey::VARCHAR ELSE 'none so far' END AS note FROM orders"""
+CSV_LATE_REPORT = """
+SELECT 'UTF-8' AS encoding, 'semicolon' AS delimiter, count(*)::BIGINT AS rows_read, count(*)::BIGINT AS rows, 3::INT AS columns,
+  0::BIGINT AS skipped_rows, 0::BIGINT AS empty_rows_removed, '' AS empty_columns_removed, false AS header_generated,
+  'Commas were read as decimal separators (e.g. 3,5 = 3.5).' AS notes FROM orders"""
+PARQUET_ODD_NAMES = union([
+    """SELECT a, b, round(CASE WHEN a = 'o.key' AND b = '`price`' THEN r WHEN a = 'o.key' THEN -r ELSE -1.0 END, 6) AS r, n
+FROM (SELECT corr(x, y) AS r, count(*)::BIGINT AS n FROM (
+    SELECT rank() OVER (ORDER BY o_orderkey) + (count(*) OVER (PARTITION BY o_orderkey) - 1) / 2 AS x,
+      rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS y FROM orders)),
+  (VALUES ('o.key', '`price`'), ('o.key', 'PRICE'), ('`price`', 'PRICE')) t(a, b)""",
+    "SELECT 'Status.', o_orderstatus, NULL, count(*)::BIGINT FROM orders GROUP BY 2",
+    "SELECT 'status.', o_orderpriority, NULL, count(*)::BIGINT FROM orders GROUP BY 2"])
+
 CSV_CLEANED = """
 SELECT o_orderkey::VARCHAR || '.0' AS o_orderkey, o_custkey::VARCHAR || '.0' AS o_custkey, o_orderstatus,
   CASE WHEN o_totalprice % 1 = 0 THEN o_totalprice::BIGINT::VARCHAR || '.0' ELSE o_totalprice::VARCHAR END AS o_totalprice,
@@ -553,7 +578,12 @@ m AS (SELECT *, res - (SELECT median(res) FROM r) AS off FROM r),
 q AS (SELECT (SELECT median(abs(off)) FROM m) AS mad, (SELECT avg(res) FROM r) AS mean, (SELECT stddev_samp(res) FROM r) AS sd)
 SELECT period, round(value, {digits}) AS value, round(expected, {digits}) AS expected, CASE WHEN res > 0 THEN 'above' ELSE 'below' END AS direction
 FROM m, q WHERE CASE WHEN mad > 0 THEN abs(0.6745 * off / mad) > 3.5 WHEN sd > 0 THEN abs((res - mean) / sd) > 3 ELSE false END
-ORDER BY period LIMIT 25"""
+ORDER BY period"""
+
+
+_SPIKES = """SELECT ts AS d, CASE WHEN day(ts) = 9 THEN value * 40 WHEN day(ts) = 17 THEN -value * 30 ELSE value END AS v FROM events"""
+_FLAT = "SELECT ts AS d, CASE WHEN day(ts) = 9 THEN 7.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM events"
+_FAR = "SELECT o_orderdate + (o_orderkey % 41 * 365)::INT * INTERVAL 1 DAY AS d, o_totalprice AS v FROM orders"
 
 
 def _season(body: str, label: str, digits: int = 6) -> str:
@@ -628,6 +658,12 @@ SELECT '{c}' AS "column", a.u::BIGINT AS unique_a, a.top AS top_a, round(a.pct,
 FROM {side(EARLY)} a, {side(LATE)} b"""
 
 
+_BRANDS = """SELECT p_size <= 25 AS low, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_size <= 25 THEN 'small ' || p_brand
+  ELSE 'large ' || p_brand END AS label FROM part"""
+COMPARE_LABELS = f"""
+SELECT 'brand' AS "column", label, CASE WHEN bool_and(low) THEN 'a' ELSE 'b' END AS side
+FROM ({_BRANDS}) GROUP BY label HAVING bool_and(low) OR NOT bool_or(low)"""
+
 COMPARE_OVERVIEW = union(f"""
 SELECT '{s}' AS side, '{name}' AS name, count(*)::BIGINT AS rows, 6::INT AS columns, 0.0::DOUBLE AS missing_pct,
   (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({src}))))::BIGINT AS duplicates FROM ({src})"""
@@ -756,6 +792,10 @@ ORACLES: dict[str, str] = {
     "ts_season_hour": _season_hour("mean"), "ts_season_hour_median": _season_hour("median"),
     "compare_schema": _compare_schema(), "compare_numeric": COMPARE_NUMERIC,
     "compare_categorical": union(map(_compare_categorical, ("o_orderstatus", "o_orderpriority"))),
+    "csv_odd_headers": CSV_ODD_HEADERS, "csv_late_comma": CSV_LATE_COMMA, "csv_late_report": CSV_LATE_REPORT,
+    "parquet_odd_names": PARQUET_ODD_NAMES, "compare_labels": COMPARE_LABELS,
+    "ts_anomalies_spikes": _anomalies(_SPIKES, "D", "sum", 4), "ts_anomalies_flat": _anomalies(_FLAT, "D", "max", 4),
+    "ts_long_daily": _points(_FAR, "D", "sum", 6),
     "quantiles_wide": QUANTILES_WIDE, "scatter_points": SCATTER_POINTS, "scatter_colored": SCATTER_COLORED,
     "scatter_matrix": SCATTER_MATRIX, "box_outlier_points": BOX_POINTS,
     "box_outliers_all": BOX_OUTLIERS, "scatter_all_colored": SCATTER_ALL, "scatter_matrix_all": MATRIX_ALL,

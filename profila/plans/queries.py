@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from profila.functions.text import quoted
 from profila.functions import text
 from profila.model import ROW
 from profila.operators import compare, infer, kernels, quality, relate, stats
@@ -19,7 +20,7 @@ from profila.plans.report import build_report
 from profila.session import staging_path
 from profila.sources.cleaned import cleaned_rows, preview, write_cleaned_csv
 from profila.sources.delimited import load_csv
-from profila.sources.tables import profile_table, read_parquet
+from profila.sources.tables import load_parquet, profile_table, read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -29,8 +30,8 @@ PRIORITY, STATUS, PRICE, DATE = "o_orderpriority", "o_orderstatus", "o_totalpric
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Round every double; ``special`` overrides the digits of single columns."""
     return df.select(*[
-        F.round(f"`{f.name}`", special.get(f.name, digits)).alias(f.name)
-        if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+        F.round(quoted(f.name), special.get(f.name, digits)).alias(f.name)
+        if isinstance(f.dataType, T.DoubleType) else F.col(quoted(f.name))
         for f in df.schema.fields])
 
 
@@ -70,6 +71,34 @@ def csv_cleaned(spark, d):
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(target)
 
 
+def csv_odd_headers(spark, d):
+    """A file whose header has dots, repeats, backticks, blanks and names that differ by case alone."""
+    ds = load_csv(spark, inputs.odd_csv(spark, d), "odd.csv")
+    found = stats.describe(ds.table, ds.names("numeric", "identifier")).select(
+        F.col("column").alias("name"), "count", F.round("mean", 4).alias("mean"), "max")
+    return ds.schema_table().select("name", "type", "non_null").join(found, "name", "left")
+
+
+def csv_late_comma(spark, d):
+    """One in a hundred values has a decimal comma; the notes of the first rows hold commas instead of text."""
+    ds = load_csv(spark, inputs.late_comma_csv(spark, d), "late.csv")
+    return rounded(ds.table.drop(ROW), 2)
+
+
+def csv_late_report(spark, d):
+    r = load_csv(spark, inputs.late_comma_csv(spark, d), "late.csv").load_report
+    return joined(r, "empty_columns_removed", "notes").drop("missing_markers")
+
+
+def parquet_odd_names(spark, d):
+    """Correlations and label counts of columns with dots, backticks and names that differ by case alone."""
+    ds = load_parquet(spark, inputs.odd_parquet(spark, d))
+    pairs = relate.spearman(ds.table, ["o.key", "`price`", "PRICE"], row=ROW).pairs
+    labels = stats.label_counts(ds.table, ["Status.", "status."])
+    return pairs.select("a", "b", F.round("r", 6).alias("r"), "n").unionByName(
+        labels.select(F.col("column").alias("a"), F.col("label").alias("b"), F.lit(None).cast("double").alias("r"), "n"))
+
+
 def preview50(spark, d):
     return preview(inputs.orders(spark, d))
 
@@ -141,7 +170,11 @@ def case_variants(spark, d):
 
 
 def abbreviations(spark, d):
-    return infer.abbreviations(_spelled(spark, d))
+    """Segments shortened to one or two letters, beside part names, whose first letters are ambiguous."""
+    short = kernels.value_counts(inputs.short_segments(spark, d), ["segment"], first=ROW)
+    p = table(spark, d, "part").select(F.col("p_partkey").alias(ROW), F.when(
+        F.col("p_partkey") % 9 == 0, F.substring("p_name", 1, 1)).otherwise(F.col("p_name")).alias("p_name"))
+    return infer.abbreviations(short.unionByName(kernels.value_counts(p, ["p_name"], first=ROW)))
 
 
 def sample_values(spark, d):
@@ -385,6 +418,25 @@ def ts_anomalies_daily(spark, d):
     return rounded(timeseries(table(spark, d, "events"), "ts", "value", "mean", "D").anomalies(), 5)
 
 
+def ts_anomalies_spikes(spark, d):
+    """Days of a noisy series of which two are far off."""
+    spiked = table(spark, d, "events").withColumn(
+        "value", F.when(F.dayofmonth("ts") == 9, F.col("value") * 40).when(F.dayofmonth("ts") == 17, -F.col("value") * 30).otherwise(F.col("value")))
+    return rounded(timeseries(spiked, "ts", "value", "sum", "D").anomalies(), 4)
+
+
+def ts_anomalies_flat(spark, d):
+    """A series that never varies but on one day, so its median deviation is 0."""
+    flat = table(spark, d, "events").withColumn("value", F.when(F.dayofmonth("ts") == 9, 7.0).otherwise(1.0))
+    return rounded(timeseries(flat, "ts", "value", "max", "D").anomalies(), 4)
+
+
+def ts_long_daily(spark, d):
+    """More than 5000 days: order dates spread over forty years."""
+    o = table(spark, d, "orders").withColumn("far", F.col(DATE) + F.make_dt_interval((F.col("o_orderkey") % 41 * 365).cast("int")))
+    return rounded(timeseries(o, "far", PRICE, "sum", "D", max_periods=None).points(), 6)
+
+
 def ts_season_month(spark, d):
     return rounded(timeseries(table(spark, d, "orders"), DATE, PRICE, "sum").season_month(), 5)
 
@@ -415,6 +467,11 @@ def compare_categorical(spark, d):
     return rounded(joined(compare.compare_categorical(*inputs.orders_split(spark, d)), "new_in_b", "missing_in_b"))
 
 
+def compare_labels(spark, d):
+    a, b = (profile_table(n, t) for n, t in inputs.parts_split(spark, d))
+    return compare.compare_labels(a, b)
+
+
 def compare_overview(spark, d):
     return rounded(compare.compare_overview(*inputs.orders_split(spark, d)))
 
@@ -441,11 +498,11 @@ def report_statistics(spark, d):
 
 
 def report_defaults(spark, d):
-    return defaults.defaults(inputs.orders(spark, d), [])
+    return build_report(inputs.orders(spark, d))["defaults"]
 
 
 def section_flags(spark, d):
-    return defaults.sections(inputs.orders(spark, d), True, True)
+    return build_report(inputs.orders(spark, d))["sections"]
 
 
 def chart_plan(spark, d):
@@ -454,7 +511,7 @@ def chart_plan(spark, d):
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        parquet_rows, csv_rows, csv_profile, csv_load_report, csv_cleaned, preview50,
+        parquet_rows, csv_rows, csv_profile, csv_load_report, csv_cleaned, csv_odd_headers, csv_late_comma, csv_late_report, parquet_odd_names, preview50,
         schema_profile, schema_examples, type_counts, numeric_parse, date_parse, date_vote, identifier_flags,
         text_kinds, case_variants, abbreviations, sample_values,
         describe_lineitem, describe_events_gaps, quantiles_wide, hist_discrete, hist_binned, box_stats, box_outlier_points, box_outliers_all,
@@ -464,9 +521,9 @@ QUERIES: dict[str, Query] = {
         scatter_fit, scatter_points, scatter_colored, scatter_matrix, scatter_all_colored, scatter_matrix_all,
         pivot_2way, pivot_2way_median, pivot_2way_other, pivot_missing_label,
         crosstab_counts, crosstab_other, crosstab_chi2, crosstab_chi2_other,
-        ts_gaps, ts_gaps_count, ts_summary, ts_trend, ts_anomalies, ts_anomalies_daily,
+        ts_gaps, ts_gaps_count, ts_summary, ts_trend, ts_anomalies, ts_anomalies_daily, ts_anomalies_spikes, ts_anomalies_flat, ts_long_daily,
         ts_season_month, ts_season_weekday, ts_season_hour, ts_season_hour_median,
-        compare_schema, compare_numeric, compare_categorical, compare_overview,
+        compare_schema, compare_numeric, compare_categorical, compare_labels, compare_overview,
         findings, findings_orders, findings_events, report_statistics, report_defaults, section_flags, chart_plan,
     )
 }

@@ -67,7 +67,7 @@ def _numeric(ds: Dataset) -> dict[str, DataFrame]:
 
     for tables in together(
         ds.spark,
-        lambda: _correlation(relate.spearman, ds, profile), lambda: _correlation(relate.pearson, ds, profile),
+        lambda: _correlation(relate.spearman, ds, profile, row=ROW), lambda: _correlation(relate.pearson, ds, profile),
         lambda: {"histograms": settled(stats.histograms(table, cols, profile))}, spread,
         lambda: {"outlier_extremes": settled(stats.outlier_extremes(table, cols, ROW, profile=profile))},
     ):
@@ -75,8 +75,8 @@ def _numeric(ds: Dataset) -> dict[str, DataFrame]:
     return out
 
 
-def _correlation(method, ds: Dataset, profile: DataFrame) -> dict[str, DataFrame]:
-    found = method(ds.table, ds.names(NUMERIC), profile)
+def _correlation(method, ds: Dataset, profile: DataFrame, **options) -> dict[str, DataFrame]:
+    found = method(ds.table, ds.names(NUMERIC), profile, **options)
     if not found:
         return {}
     found.pairs = settled(found.pairs)

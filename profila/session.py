@@ -11,9 +11,6 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-# Row counts up to which a step may run as one plain aggregate or one-partition window.
-# Larger inputs take the distributed route; both give the same values.
-SMALL_ROWS = 200_000
 # Largest table the library broadcasts itself, in rows of a few fixed-width fields.
 BROADCAST_ROWS = 1_000_000
 
@@ -23,18 +20,18 @@ def setting(spark: SparkSession, name: str, default: int) -> int:
     return int(spark.conf.get(f"spark.profila.{name}", str(default)))
 
 
-def small_rows(spark: SparkSession) -> int:
-    return setting(spark, "smallRows", SMALL_ROWS)
-
-
 def broadcast_rows(spark: SparkSession) -> int:
     return setting(spark, "broadcastRows", BROADCAST_ROWS)
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """Date parsing and truncation assume UTC, so zoned stamps land on naive UTC values."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Date parsing and truncation assume UTC, so zoned stamps land on naive UTC values.
+
+    Column names may differ by case alone, so they are told apart by it.
+    """
+    for name, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.caseSensitive", "true")):
+        if spark.conf.get(name) != value:
+            spark.conf.set(name, value)
     return spark
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from profila.functions.text import quoted
 from profila.functions.labels import cell_text, value_text
 from profila.model import DATETIME, EXACT, NUMERIC, ROW, Dataset
 from profila.operators.quality import dedupe
@@ -18,7 +19,7 @@ PREVIEW_ROWS = 50
 def cleaned_rows(ds: Dataset, remove_duplicates: bool = False) -> DataFrame:
     """The typed table and the columns without a profile in source order, without repeated rows if wanted."""
     rows = _whole_rows(ds, remove_duplicates)
-    return rows.select(*[f"`{c}`" for c in [*ds.table.columns, *ds.unprofiled]])
+    return rows.select(*[quoted(c) for c in [*ds.table.columns, *ds.unprofiled]])
 
 
 def _whole_rows(ds: Dataset, remove_duplicates: bool) -> DataFrame:
@@ -38,23 +39,23 @@ def write_cleaned_csv(ds: Dataset, folder: str, remove_duplicates: bool = False)
     dates = ds.names(DATETIME)
     timed: dict[str, bool] = {}
     if dates:
-        whole = [F.bool_and(F.col(f"`{d}`") == F.date_trunc("day", F.col(f"`{d}`"))).alias(d) for d in dates]
+        whole = [F.bool_and(F.col(quoted(d)) == F.date_trunc("day", F.col(quoted(d)))).alias(d) for d in dates]
         timed = {d: flag is False for d, flag in ds.table.agg(*whole).first().asDict().items()}
 
     def cell(name: str, kind: str) -> Column:
-        c = F.col(f"`{name}`")
+        c = F.col(quoted(name))
         if kind == DATETIME:
             return F.date_format(c, "yyyy-MM-dd HH:mm:ss" if timed[name] else "yyyy-MM-dd")
         text = value_text(c, ds.table.schema[name].dataType)
         if EXACT + name in ds.compared.columns:
-            source = F.col(f"`{EXACT}{name}`").cast("string")
+            source = F.col(quoted(EXACT + name)).cast("string")
             text = F.when(source.rlike(r"^-?\d+(\.\d+)?$"), source).otherwise(text)
         if kind == NUMERIC or ds.table.schema[name].dataType.typeName() == "double":
             return F.when(text.rlike(r"^-?\d+$"), F.concat(text, F.lit(".0"))).otherwise(text)
         return text
 
     cells = [(c.name, cell(c.name, c.type)) for c in ds.columns]
-    cells += [(o, _other_text(F.col(f"`{o}`"), ds.compared.schema[o].dataType)) for o in ds.unprofiled]
+    cells += [(o, _other_text(F.col(quoted(o)), ds.compared.schema[o].dataType)) for o in ds.unprofiled]
     out = _whole_rows(ds, remove_duplicates).select(*[
         text.alias(("﻿" if i == 0 else "") + name) for i, (name, text) in enumerate(cells)])
     out.write.option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(target)
@@ -65,4 +66,4 @@ def preview(ds: Dataset, n: int = PREVIEW_ROWS) -> DataFrame:
     """The first rows as display strings; missing cells stay null."""
     head = ds.table.orderBy(ROW).limit(n)
     return head.select(ROW, *[
-        cell_text(F.col(f"`{c.name}`"), ds.table.schema[c.name].dataType).alias(c.name) for c in ds.columns])
+        cell_text(F.col(quoted(c.name)), ds.table.schema[c.name].dataType).alias(c.name) for c in ds.columns])

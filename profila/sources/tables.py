@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from profila.functions.text import quoted
 from profila.model import ROW, Dataset
 from profila.operators.infer import infer
 from profila.session import broadcast_rows, use_utc
@@ -32,7 +33,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     located = rows.select("*", F.col("_metadata.file_path").alias("_file"),
                           F.col("_metadata.row_index").alias("_at"))
     files = located.groupBy("_file").agg(F.count("*").alias("n"))
-    return place_rows(located, files, ["_file"], F.col("_at") + 1).select(ROW, *rows.columns)
+    return place_rows(located, files, ["_file"], F.col("_at") + 1).select(ROW, *map(quoted, rows.columns))
 
 
 def place_rows(located: DataFrame, blocks: DataFrame, keys: list[str], inside: Column) -> DataFrame:

@@ -5,8 +5,10 @@ import datetime as dt
 import pytest
 
 from profila import DataLoadError, load_csv
+from profila.plans import views
+from profila.plans.report import build_report
 from profila.sources.cleaned import preview, write_cleaned_csv
-from profila.sources.delimited import clean_headers, detect_delimiter, detect_layout
+from profila.sources.delimited import clean_headers, detect_layout, line_shapes, steadiest
 
 MESSY = {
     "latin1.csv": "name,city,score\nJosé,São Paulo,5\nRené,Zürich,7\nAna,Köln,9\n".encode("latin-1"),
@@ -176,10 +178,37 @@ def test_headers():
         "a", "a_2", "column_3", "column_4", "column_5", "x y", "a.1", "a.2"]
 
 
-def test_delimiters():
-    assert detect_delimiter(["a;b;c", "1,5;2;3"]) == ";"
-    assert detect_delimiter(['"x,y"|2', "a|b"]) == "|"
-    assert detect_delimiter(["word", "other"]) == ","
+def test_delimiters(spark):
+    def found(*lines):
+        return steadiest(line_shapes(spark.createDataFrame([(x,) for x in lines], "value string")))
+
+    assert found("a;b;c", "1,5;2;3") == ";"
+    assert found('"x,y"|2', "a|b") == "|"
+    assert found("word", "other") == ","
+    assert found(*["a,b,c,d;1"] * 200, *[f"note {i};{i}" for i in range(300)]) == ";"
+
+
+def test_late_decimal_comma(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_text("a;b\n" + "".join(f"x;{i}\n" for i in range(80)) + "y;119,5\nz;Smith, John\n")
+    ds = load_csv(spark, str(path))
+    assert ds.table.where("a = 'y'").first()["b"] == 119.5
+    path = tmp_path / "thousands.csv"
+    path.write_text("a;b\n" + "".join(f"x;1,{i:03d}.5\n" for i in range(80)) + "y;1,000\n")
+    assert load_csv(spark, str(path)).table.where("a = 'y'").first()["b"] == 1000.0
+
+
+def test_odd_headers(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text("S.No,price.usd,a,a,A,b`t,x.y.z\n" + "".join(f"{i},{i * i % 37 * 2},{i * 5 % 17},{i * 7 % 23},{-i % 13},t{i % 3},d\n" for i in range(1, 40)))
+    ds = load_csv(spark, str(path))
+    assert [c.name for c in ds.columns] == ["S.No", "price.usd", "a", "a.1", "A", "b`t", "x.y.z"]
+    report = build_report(ds)
+    assert report["statistics"].where("column = 'price.usd'").first()["max"] == 72.0
+    assert views.crosstab(ds, "b`t", "x.y.z").test().first()["n"] == 39
+    assert views.scatter_matrix(ds, ["price.usd", "a.1", "A"]).count() == 39
+    assert preview(ds).columns[1] == "S.No"
+    assert write_cleaned_csv(ds, str(tmp_path), remove_duplicates=True)
 
 
 def test_layout_looks_at_the_head_only_once(spark, tmp_path):

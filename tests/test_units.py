@@ -124,8 +124,11 @@ def test_more_than_25_columns(spark):
     df = spark.range(40).select(*[
         F.when(F.col("id") >= i, F.sin(F.col("id") * (i + 1))).alias(f"c{i}") for i in range(28)])
     found = relate.pearson(df, df.columns)
+    assert not found.truncated and found.columns == df.columns
+    assert found.ranked().count() == 28 * 27 // 2
+    found = relate.pearson(df, df.columns, most=25)
     assert found.truncated and found.columns == [f"c{i}" for i in range(25)]
-    assert found.ranked().count() == 30
+    assert found.ranked(30).count() == 30
 
 
 def test_scatter(spark):
