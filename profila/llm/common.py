@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from profila.session import checkpointed, staging_path
 
-__all__ = ["checkpointed", "let", "settled", "table"]
+__all__ = ["checkpointed", "dropped", "let", "settled", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +22,17 @@ def settled(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``settled`` returned and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, use) -> Column:

@@ -3,13 +3,17 @@
 A document is its set of distinct word shingles. Documents with equal sets form a class and are
 represented by the smallest id. One hash per shingle serves all ``bins`` bins; an empty bin borrows
 from the first filled one of its own random order (optimal densification). ``rows`` bins make a
-band; classes that agree in a band share a bucket.
+band; classes that agree in a band share a bucket. With 113 bands of 8 a pair of similarity 0.8 shares no
+bucket once in 10^9, one of 0.3 shares one with 0.7 %.
 
-Candidates are stars: every member of a bucket is compared with the bucket's smallest id, on full
-sets. Buckets whose members still fall into several components are then worked off in rounds:
-members outside the bucket's largest component are compared with all members of other components,
-``centres`` at a time, until none is left, so a star loses no link that its bucket holds. With 51
-bands of 5 a pair of similarity 0.8 shares no bucket once in 10^9.
+Candidates are stars: every member of a bucket is compared with the bucket's smallest id. Buckets whose
+members still fall into several components are then worked off in rounds: members outside the bucket's
+largest component are compared with all members of other components, ``centres`` at a time, until none is
+left, so a star loses no link that its bucket holds. Found components are contracted: links of later rounds
+are links between components, so nothing grows with the pairs of a group.
+
+A pair is first compared by ``SKETCH`` bytes of both signatures; below half agreement its similarity is under 0.8
+but for less than one pair in 10^9. The rest is compared on full sets, which are written once.
 
 Defined cases: null text and text without words have an empty set and no link; fewer words than a
 shingle form one; rows that repeat an id are one document; a row without id has no link,
@@ -27,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profila.llm.common import checkpointed, settled
+from profila.llm.common import dropped, settled
 from profila.llm.links import components
 from profila.llm.shingles import PLACE, mixed, shingle_set
 
 WORDS = 5
 SIMILARITY = 80  # per cent
-BANDS, ROWS = 51, 5
-CENTRES = 32
+BANDS, ROWS = 113, 8
+CENTRES = 4
+SKETCH = 128  # bytes, one per bin, spread over all bins
 
 
 @lru_cache(maxsize=4)
@@ -60,28 +65,37 @@ def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def buckets(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    held = signature(shingles, bands * rows).reshape(bands, rows)
+def buckets(held: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    held = held.reshape(bands, rows)
     out = np.arange(bands, dtype=np.uint64)
     for i in range(rows):
         out = mixed(out * PLACE + held[:, i])
     return out.view(np.int64)
 
 
+def sketch(held: np.ndarray) -> bytes:
+    """A byte each of bins spread over the whole signature."""
+    at = np.linspace(0, len(held) - 1, min(SKETCH, len(held))).astype(np.int64)
+    return (held[at] >> np.uint64(17)).astype(np.uint8).tobytes()
+
+
 def _sketch(docs: DataFrame, size: int, bands: int, rows: int, id_type) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, keys, found = [], [], []
+            counts, keys, found, short = [], [], [], []
             for text in b.column(1).to_pylist():
                 held = shingle_set(text, size)
                 counts.append(len(held))
                 keys.append(hashlib.md5(held.tobytes()).digest())
-                found.append(buckets(held, bands, rows).tolist() if len(held) else [])
+                drawn = signature(held, bands * rows) if len(held) else held
+                found.append(buckets(drawn, bands, rows) if len(held) else drawn.view(np.int64))
+                short.append(sketch(drawn) if len(held) else b"")
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key", "buckets"])
+                [b.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(short, pa.binary()),
+                 pa.array(found, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "key", "sketch", "buckets"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, key binary, buckets array<long>")
+    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, key binary, sketch binary, buckets array<long>")
 
 
 def _sets(docs: DataFrame, size: int, id_type) -> DataFrame:
@@ -93,19 +107,23 @@ def _sets(docs: DataFrame, size: int, id_type) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, held binary")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, size: int, similarity: int, id_type) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose full sets are similar enough."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = settled(_sets(docs.join(asked, "doc_id", "left_semi"), size, id_type), "near-sets")
+def _alike(one: bytes, two: bytes, similarity: int) -> bool:
+    one, two = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    return 100 * int((one == two).sum()) >= (similarity - 30) * len(one)
+
 
+def _similar_sets(one: bytes, two: bytes, similarity: int) -> bool:
+    one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    at = np.searchsorted(two, one)
+    common = int((two[np.minimum(at, len(two) - 1)] == one).sum())
+    return 100 * common >= similarity * (len(one) + len(two) - common)
+
+
+def _passing(pairs: DataFrame, held: DataFrame, test, similarity: int, id_type) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose values in ``held`` (id, held) pass ``test``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for one, two in zip(b.column("one"), b.column("two")):
-                one, two = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-                at = np.searchsorted(two, one)
-                common = int((two[np.minimum(at, len(two) - 1)] == one).sum())
-                keep.append(100 * common >= similarity * (len(one) + len(two) - common))
+            keep = [test(x.as_buffer(), y.as_buffer(), similarity) for x, y in zip(b.column("one"), b.column("two"))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = held.select(F.col("id").alias("a"), F.col("held").alias("one"))
@@ -113,6 +131,18 @@ def _similar(pairs: DataFrame, docs: DataFrame, size: int, similarity: int, id_t
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
+def _contracted(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more links (a, b): one row per vertex, whatever the number of links."""
+    def seen(side: str) -> DataFrame:
+        return found.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+
+    between = links.join(seen("a"), "a", "left").join(seen("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    moved = components(between).select(F.col("id").alias("component"), F.col("component").alias("onto"))
+    kept = found.join(moved, "component", "left").select("id", F.coalesce("onto", "component").alias("component"))
+    return settled(kept.unionByName(moved.select(F.col("component").alias("id"), F.col("onto").alias("component"))).distinct(), "near-found")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
     centres: int = CENTRES, id_col: str = "doc_id", text_col: str = "text",
@@ -125,50 +155,64 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     drawn = settled(_sketch(docs, words, bands, rows, id_type), "near-sketch")
     named = drawn.where("doc_id is not null and n_shingles > 0")
-    classes = settled(
-        named.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "buckets")).alias("r"))
-        .select("key", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.buckets").alias("buckets")),
-        "near-classes")
-    members = classes.select(F.explode("buckets").alias("bucket"), F.col("rep").alias("id"), "n")
-    stars = settled(
-        members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("size"))
-        .where("size > 1").select("bucket", F.col("c.id").alias("b"), F.col("c.n").alias("m")), "near-stars")
+    classes = settled(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "near-classes")
+    own = settled(
+        named.join(classes, "key").where("doc_id = rep").select("rep", "n_shingles", "sketch", "buckets"), "near-own")
+    members = own.select(F.explode("buckets").alias("bucket"), F.col("rep").alias("id"), F.col("n_shingles").alias("n"))
+    stars = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("most")).where(
+        "c.id <> most").select("bucket", F.col("c.id").alias("b"), F.col("c.n").alias("m"))
     shared = settled(members.join(stars, "bucket"), "near-shared")
+    met = shared.select("id").distinct()
+    short = settled(own.select(F.col("rep").alias("id"), F.col("sketch").alias("held")).join(met, "id", "left_semi").distinct(), "near-short")
+    dropped(own)
     near_sizes = f"a <> b and 100 * least(n, m) >= {similarity} * greatest(n, m)"
-    pairs = settled(shared.withColumnRenamed("id", "a").where(near_sizes).select("a", "b").distinct(), "near-pairs")
-    links = checkpointed(_similar(pairs, docs, words, similarity, id_type))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return settled(_passing(pairs, short, _alike, similarity, id_type), "near-alike")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = settled(_sets(docs.join(asked, "doc_id", "left_semi"), words, id_type), "near-sets")
+        links = settled(_passing(pairs, sets, _similar_sets, similarity, id_type), "near-links")
+        dropped(sets)
+        return links
+
+    pairs = alike(shared.withColumnRenamed("id", "a").where(near_sizes).select("a", "b").distinct())
+    links = similar(pairs)
     # Rows that repeat an id are one document, so its classes are linked.
     same = (
         named.select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
         .groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"), F.count("*").alias("c")).where("c > 1"))
-    links = checkpointed(links.unionByName(same.select("a", "b")))
-    found = components(links)
+    found = settled(components(links.unionByName(same.select("a", "b"))), "near-found")
+    dropped(pairs, links)
 
-    left = shared.select("bucket", "id", "n")
+    left = shared
     while True:
-        placed = (
-            left.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        placed = left.select("bucket", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-        mixed_up = checkpointed(
+        mixed_up = settled(
             sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("top"))
-            .where("k > 1").select("bucket", F.col("top.component").alias("top")))
+            .where("k > 1").select("bucket", F.col("top.component").alias("top")), "near-mixed")
         if mixed_up.isEmpty():
             break
-        placed = checkpointed(placed.join(mixed_up, "bucket"))
+        placed = settled(placed.join(mixed_up, "bucket"), "near-placed")
+        dropped(left)
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        chosen = checkpointed(
+        chosen = settled(
             placed.where("component <> top").withColumn("at", rank).where(F.col("at") <= centres)
-            .select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")))
-        pairs = checkpointed(
+            .select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")), "near-centres")
+        pairs = alike(
             placed.withColumnRenamed("id", "a").join(chosen, "bucket").where("component <> other").where(near_sizes)
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        more = checkpointed(_similar(pairs, docs, words, similarity, id_type))
-        if not more.isEmpty():
-            links = checkpointed(links.unionByName(more))
-            found = components(links)
-        left = checkpointed(
+        if not pairs.isEmpty():
+            more = similar(pairs)
+            if not more.isEmpty():
+                found = _contracted(found, more)
+            dropped(more)
+        left = settled(
             placed.select("bucket", "id", "n").join(
-                chosen.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti"))
+                chosen.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti"), "near-left")
+        dropped(placed, chosen, pairs, mixed_up)
 
     reps = classes.select("key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key", F.coalesce("component", "rep").alias("component"))
@@ -179,12 +223,20 @@ def near_duplicates(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of every group; of repeated ids one row."""
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = checkpointed(kept)
-    repeated = checkpointed(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    stay = docs.join(kept, "doc_id", "left_semi")
-    once = stay.join(repeated, "doc_id", "left_anti")
-    again = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null")).select(docs.columns)
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of every group, the one with the smallest id.
+
+    Rows are told apart by id and hash of the text: different texts under one id are different documents,
+    equal texts with or without an id are copies, and a missing id counts as the largest. Of rows equal in
+    both, the first by all its columns stays.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    keyed = docs.withColumn("_key", key)
+    kept = settled(
+        near_duplicates(keyed.select("_key", text_col), id_col="_key", text_col=text_col, **options)
+        .where("kept").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n")), "near-kept")
+    once = keyed.join(kept.where("n = 1"), "_key", "left_semi").select(docs.columns)
+    whole = F.struct(*docs.columns)
+    again = keyed.join(kept.where("n > 1"), "_key", "left_semi").groupBy("_key").agg(
+        F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    return once.unionByName(again)

@@ -60,5 +60,11 @@ def test_edges(spark):
                           (None, 2, None, True), (6, 2, 5, False), (7, 1, 7, True)], key=str)
     kept = neardup.keep_one_each(docs, words=2)
     assert kept.columns == docs.columns
-    assert sorted(x.doc_id or 0 for x in kept.collect()) == [0, 1, 2, 3, 5, 7]
+    assert sorted(x.doc_id or 0 for x in kept.collect()) == [1, 2, 3, 5, 7]
+    rows = [(1, "text a one two", "k", None), (1, "text b three four", "k", None), (2, "text b three four", "k", None),
+            (3, "text a one two", "k", None), (None, "only here five", "k", None), (None, "only here five", "j", None),
+            (4, None, "k", None), (4, None, "k", None), (None, None, "k", None)]
+    kept = neardup.keep_one_each(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(((x.doc_id, x.text, x.component_id) for x in kept.collect()), key=str) == sorted(
+        [(1, "text a one two", "k"), (1, "text b three four", "k"), (None, "only here five", "j"), (4, None, "k"), (None, None, "k")], key=str)
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
