@@ -8,8 +8,8 @@ bucket once in 10^9, one of 0.3 shares one with 0.7 %.
 
 Candidates are stars: every member of a bucket is compared with the bucket's smallest id. Buckets whose
 members still fall into several components are then worked off in rounds: members outside the bucket's
-largest component are compared with all members of other components, ``centres`` at a time, until none is
-left, so a star loses no link that its bucket holds. Found components are contracted: links of later rounds
+largest component are compared with all members of other components, in rounds of a few such centres per bucket,
+more in small buckets, until none is left, so a star loses no link that its bucket holds. Found components are contracted: links of later rounds
 are links between components, so nothing grows with the pairs of a group.
 
 A pair is first compared by ``SKETCH`` bytes of both signatures; below half agreement its similarity is under 0.8
@@ -38,7 +38,8 @@ from profila.llm.shingles import PLACE, mixed, shingle_set
 WORDS = 5
 SIMILARITY = 80  # per cent
 BANDS, ROWS = 113, 8
-CENTRES = 4
+CENTRES = 2  # at least, per bucket and round
+ROUND = 256  # pairs per bucket and round: small buckets are done in one
 SKETCH = 128  # bytes, one per bin, spread over all bins
 
 
@@ -191,15 +192,17 @@ def near_duplicates(
         placed = left.select("bucket", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
         mixed_up = settled(
-            sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("top"))
-            .where("k > 1").select("bucket", F.col("top.component").alias("top")), "near-mixed")
+            sizes.groupBy("bucket").agg(
+                F.count("*").alias("k"), F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top"))
+            .where("k > 1").select("bucket", F.col("top.component").alias("top"), "size"), "near-mixed")
         if mixed_up.isEmpty():
             break
         placed = settled(placed.join(mixed_up, "bucket"), "near-placed")
         dropped(left)
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
         chosen = settled(
-            placed.where("component <> top").withColumn("at", rank).where(F.col("at") <= centres)
+            placed.where("component <> top").withColumn("at", rank).where(
+                F.col("at") <= F.greatest(F.lit(centres), F.floor(F.lit(ROUND) / F.col("size"))))
             .select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")), "near-centres")
         pairs = alike(
             placed.withColumnRenamed("id", "a").join(chosen, "bucket").where("component <> other").where(near_sizes)
