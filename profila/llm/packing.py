@@ -8,8 +8,9 @@ open at the end of the partitions is merged, ``merge`` partitions at a time, in
 Ids are those of the byte-level BPE file ``byte_bpe_50k.json``; the same vocabulary is read from its
 rank file because that library encodes several times faster with equal ids (tests compare both).
 
-Defined cases: null text is empty and gives the end id alone; repeated rows are packed each; strings
-of special tokens are ordinary text; an empty table gives no rows; other columns are ignored.
+Defined cases: null text is empty and gives the end id alone; repeated rows are packed each; the string of
+the special token of that file is that token, as the file's own library reads it; ids stay as they are, also
+beside null ones; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +29,8 @@ from pyspark.sql.types import StructType
 
 from profila.llm.common import settled
 
+# Fixed value: the special token of the vocabulary.
+SPECIAL = {"<|endoftext|>": 50256}
 LENGTH = 2048
 END_ID = 1
 OPEN_WINDOWS = 64
@@ -45,11 +47,11 @@ def encoder(path: str | None = None):
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def encode(text: str | None, path: str | None = None) -> np.ndarray:
-    return encoder(path).encode_to_numpy(text or "", disallowed_special=())
+    return encoder(path).encode_to_numpy(text or "", allowed_special=set(SPECIAL), disallowed_special=())
 
 
 class Windows:
@@ -145,19 +147,20 @@ def pack(
             yield batch(_rows(kept.take(), base), False)
             yield batch(_rows(kept.rest(), base), True)
 
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        base = (MERGED + int(group["sequence_id"].iloc[0] >> 32) // merge) << 32
+    def merged(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        base = (MERGED + (rows[0]["sequence_id"] >> 32) // merge) << 32
         kept = Windows(length, windows, -1)
-        group = group.assign(n=group["ids"].map(len)).sort_values(["n", "sequence_id", "offset"], ascending=[False, True, True])
-        for doc, start, ids, total in zip(group["doc_id"], group["start"], group["ids"], group["doc_tokens"]):
-            kept.add(None if pd.isna(doc) else doc, start, np.frombuffer(ids, "<u4"), total)
-        found = kept.take() + _close(kept.rest(), length, kept.next)
-        return pd.DataFrame(_rows(found, base), columns=names[:6]).astype({"doc_id": group["doc_id"].dtype})
+        for r in sorted(rows, key=lambda r: (-len(r["ids"]), r["sequence_id"], r["offset"])):
+            kept.add(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"])
+        columns = zip(*_rows(kept.take() + _close(kept.rest(), length, kept.next), base))
+        types = [group.schema.field("doc_id").type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names[:6])
 
     placed = settled(docs.select(id_col, text_col).mapInArrow(online, schema), "packing", by="open")
     left = (
         placed.where("open").groupBy(F.floor(F.shiftright("sequence_id", 32) / merge))
-        .applyInPandas(merged, StructType(schema.fields[:6])))
+        .applyInArrow(merged, StructType(schema.fields[:6])))
     return placed.where("not open").drop("open").unionByName(left)
 
 

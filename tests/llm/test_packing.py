@@ -45,6 +45,8 @@ def test_edges(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
     twice = spark.createDataFrame([(7, "same", "", ""), (7, "same", "", ""), (None, "n", "", "")], SCHEMA)
     assert sorted((r.doc_id or 0) for r in packing.pack(twice).collect()) == [0, 7, 7]
+    large = spark.createDataFrame([((1 << 60) + 1, "a", "", ""), (None, "b", "", "")], SCHEMA).coalesce(1)
+    assert {r.doc_id for r in packing.pack(large).collect()} == {(1 << 60) + 1, None}
 
 
 def test_ids_equal_those_of_the_tokenizer_file(spark):
@@ -53,7 +55,8 @@ def test_ids_equal_those_of_the_tokenizer_file(spark):
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    for text in [*texts, "a  b\r\n c", "ÀÉ " * 50, "1234567 don't 'LL", "x" * 3000]:
+    for text in [*texts, "a  b\r\n c", "ÀÉ " * 50, "1234567 don't 'LL", "x" * 3000,
+                 "<|endoftext|>", "a<|endoftext|>b <|endoftext|> c", "<|endoftext"]:
         assert packing.encode(text).tolist() == model.encode(text, add_special_tokens=False).ids
 
 
