@@ -8,14 +8,17 @@ a leaf with very many equal vectors, or very many queries, is spread over tasks;
 its best ``k`` per query. Scores are cosines of the original vectors, in double precision, summed in
 one fixed order, so equal vectors tie exactly.
 
-Defined cases: vectors that are null, zero or of another length than the first sampled one, or hold
-null or non-finite components, take no part; null ids neither; equal scores go to the smaller id; a
+A walk goes on until the leaves it met hold ``k`` rows besides the query.
+
+Defined cases: vectors that are null, zero or of another length than the commonest sampled one (the shorter
+of equals), or hold null or non-finite components, take no part; null ids neither; equal scores go to the smaller id; a
 query is not its own answer; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -71,13 +74,14 @@ class Tree:
                 todo += [(c, at[own == i]) for i, c in enumerate(below)]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, by a queue of branches ordered by cosine."""
-        queue, out = [(-1.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, query: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, by a queue of branches ordered by cosine; more while they hold under ``least`` rows."""
+        queue, out, met = [(-1.0, 0)], [], 0
+        while queue and (len(out) < most or met < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                met += (sizes or {}).get(self.leaf[node], 0)
                 continue
             below = self.children[node]
             near = np.stack([self.centres[c] for c in below]) @ query
@@ -145,8 +149,10 @@ def nearest(
     bound = min(1 << 30, (sample << 30) // max(rows.count(), 1))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 30)) < bound).orderBy("vec_id")
     held = pa.array([r["v"] for r in drawn.collect()], pa.list_(pa.float64()))
-    points, _ = _vectors(held, len(held[0]) if len(held) else 0)
-    if not len(points):
+    lengths = Counter(len(v) for v in held if v.is_valid).most_common()
+    width = min((n for n, c in lengths if c == lengths[0][1] and n), default=0)
+    points, _ = _vectors(held, width)
+    if not width or not len(points):
         return spark.createDataFrame([], schema)
     width, points = points.shape[1], unit(points)
     tree = Tree()
@@ -162,12 +168,14 @@ def nearest(
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, at = _vectors(b.column(1), width)
-            walks = [tree.visits(q, most) for q in unit(found)]
+            walks = [tree.visits(q, most, sizes, k + 1) for q in unit(found)]
             kept = b.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array(walks, pa.list_(pa.int64()))], ["vec_id", "v", "leaves"])
 
     placed = settled(rows.mapInArrow(place, "vec_id long, v array<double>, leaf long"), "ann-rows")
+    # one count per leaf of the tree: fewer than the sample; ids count once, as a query is not its own answer
+    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count_distinct("vec_id").alias("n")).collect()}
     walked = settled(
         rows.where(is_query).mapInArrow(walk, "vec_id long, v array<double>, leaves array<long>")
         .select("vec_id", "v", F.explode("leaves").alias("leaf")), "ann-queries")
