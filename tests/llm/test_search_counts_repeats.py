@@ -1,8 +1,12 @@
 import random
+import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from profila.llm import ann, hamming, repeats, tokencount
 from profila.llm.suffixes import common_prefixes, joined, suffix_array
@@ -48,21 +52,42 @@ def test_repeats_equal_brute_force(spark, block, shard_bytes):
     assert repeats.without_repeats(docs.limit(0)).collect() == []
 
 
-def test_trie_equals_plain_dynamic_programming():
-    scores, longest = {"▁": -3.0, "a": -2.0, "ab": -2.5, "▁a": -1.0, "b": -2.0, "bc": -9.0, "c": -2.0}, 2
-    trie = tokencount.Trie(scores, longest)
+def plain_tokens(word, scores, longest):
+    text, best = tokencount.MARK + word, [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        n = len(text[end - 1].encode())
+        ways = [(best[-1][0] + tokencount.UNKNOWN * n, best[-1][1] - n)]
+        ways += [(best[s][0] + scores[text[s:end]], best[s][1] - 1) for s in range(max(0, end - longest), end) if text[s:end] in scores]
+        best.append(max(ways))
+    return -best[-1][1]
 
-    def plain(text):
-        best = [(0.0, 0)]
-        for end in range(1, len(text) + 1):
-            n = len(text[end - 1].encode())
-            ways = [(best[-1][0] + tokencount.UNKNOWN * n, best[-1][1] - n)]
-            ways += [(best[s][0] + scores[text[s:end]], best[s][1] - 1) for s in range(end) if text[s:end] in scores]
-            best.append(max(ways))
-        return -best[-1][1]
 
-    for word in ("a", "ab", "abc", "abcabc", "é", "aéb", "bbbb", "abca"):
-        assert trie.insert(word) == plain("▁" + word)
+def test_trie_equals_plain_dynamic_programming(monkeypatch):
+    scores = {"▁": -3.0, "a": -2.0, "ab": -2.5, "▁a": -1.0, "b": -2.0, "bc": -9.0, "c": -2.0, "\0c": -1.0}
+    model, r = tokencount.Unigram(scores), random.Random(8)
+    words = sorted({"".join(r.choice("abcé日😀\0") for _ in range(r.randint(1, 9))) for _ in range(900)} | {"a", "ab", "a\0", "a\0\0"})
+    want = [plain_tokens(w, scores, 2) for w in words]
+    assert model.group(words).tolist() == [model.one(w) for w in words] == want
+    monkeypatch.setattr(tokencount, "GROUP", 7)
+    monkeypatch.setattr(tokencount, "LONG", 6)
+    r.shuffle(words)
+    assert model.counts(pa.array(words + [""])).tolist() == [plain_tokens(w, scores, 2) for w in words] + [0]
+
+
+def test_token_counts_equal_plain_dynamic_programming(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    scores = tokencount.vocabulary()
+    longest = max(map(len, scores))
+    held = lru_cache(None)(lambda w: plain_tokens(w, scores, longest))
+    odd = [(-1, None), (-2, ""), (-3, " \t\n "), (-4, "ab cd"), (-4, "ab cd"), (None, "x " * 3), (-5, "z" * 300_000 + " 日本語のテキスト" * 40)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string")).withColumn("n_tokens", F.lit("x"))
+    want = []
+    for x in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", x.text or "")
+        want.append((x.doc_id, len(words), sum(map(held, words))))
+    got = [(x.doc_id, x.n_words, x.n_tokens) for x in tokencount.count_tokens(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert tokencount.count_tokens(docs.limit(0)).collect() == []
 
 
 def test_codes_equal_brute_force(spark):
