@@ -6,11 +6,13 @@ from the first filled one of its own random order (optimal densification). ``row
 band; classes that agree in a band share a bucket. With 113 bands of 8 a pair of similarity 0.8 shares no
 bucket once in 10^9, one of 0.3 shares one with 0.7 %.
 
-Candidates are stars: every member of a bucket is compared with the bucket's smallest id. Buckets whose
-members still fall into several components are then worked off in rounds: members outside the bucket's
-largest component are compared with all members of other components, in rounds of a few such centres per bucket,
-more in small buckets, until none is left, so a star loses no link that its bucket holds. Found components are contracted: links of later rounds
-are links between components, so nothing grows with the pairs of a group.
+Candidates are stars: every member of a bucket is compared with the bucket's centre, the member that meets
+most others over all its buckets, since that is the one others were copied from. The centre then leaves the
+bucket. Buckets whose members still fall into several components are worked off in rounds: members outside the
+bucket's largest component become centres and are compared with all members of other components, a few per bucket and
+round, more in small buckets, until none is left, so a star loses no link that its bucket holds. Found components are
+contracted: links of later rounds are links between components, so nothing grows with the pairs of a group. Inside,
+a document is the number of its row in the written sketches, whatever the type of its id.
 
 A pair is first compared by ``SKETCH`` bytes of both signatures; below half agreement its similarity is under 0.8
 but for less than one pair in 10^9. The rest is compared on full sets, which are written once.
@@ -40,6 +42,7 @@ SIMILARITY = 80  # per cent
 BANDS, ROWS = 113, 8
 CENTRES = 2  # at least, per bucket and round
 ROUND = 256  # pairs per bucket and round: small buckets are done in one
+STEPS = 8
 SKETCH = 128  # bytes, one per bin, spread over all bins
 
 
@@ -60,9 +63,16 @@ def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
     first = np.searchsorted(shingles, edges)
     filled = first < np.append(first[1:], len(shingles))
     out = shingles[np.minimum(first, len(shingles) - 1)]
-    if not filled.all():
-        orders = _orders(bins)
-        out = out[orders[np.arange(bins), np.argmax(filled[orders], axis=1)]]
+    orders, empty, step = _orders(bins), np.flatnonzero(~filled), 1
+    while len(empty):
+        # All bins still empty look at the next STEPS places of their orders.
+        seen = orders[empty, step : step + STEPS]
+        hit = filled[seen]
+        at = np.argmax(hit, axis=1)
+        rows = np.arange(len(empty))
+        met = hit[rows, at]
+        out[empty[met]] = out[seen[rows, at][met]]
+        empty, step = empty[~met], step + STEPS
     return out
 
 
@@ -99,13 +109,19 @@ def _sketch(docs: DataFrame, size: int, bands: int, rows: int, id_type) -> DataF
     return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, key binary, sketch binary, buckets array<long>")
 
 
-def _sets(docs: DataFrame, size: int, id_type) -> DataFrame:
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """The full set of every row of (id, key, text) whose set has that key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], ["id", "held"])
+            ids, sets = [], []
+            for id_, key, text in zip(*(column.to_pylist() for column in b.columns)):
+                held = shingle_set(text, size).tobytes()
+                if hashlib.md5(held).digest() == key:
+                    ids.append(id_)
+                    sets.append(held)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "held"])
 
-    return docs.mapInArrow(run, f"id {id_type}, held binary")
+    return docs.select("id", "key", "text").mapInArrow(run, "id long, held binary")
 
 
 def _alike(one: bytes, two: bytes, similarity: int) -> bool:
@@ -120,7 +136,7 @@ def _similar_sets(one: bytes, two: bytes, similarity: int) -> bool:
     return 100 * common >= similarity * (len(one) + len(two) - common)
 
 
-def _passing(pairs: DataFrame, held: DataFrame, test, similarity: int, id_type) -> DataFrame:
+def _passing(pairs: DataFrame, held: DataFrame, test, similarity: int) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose values in ``held`` (id, held) pass ``test``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,7 +145,7 @@ def _passing(pairs: DataFrame, held: DataFrame, test, similarity: int, id_type)
 
     one = held.select(F.col("id").alias("a"), F.col("held").alias("one"))
     two = held.select(F.col("id").alias("b"), F.col("held").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
 def _contracted(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -154,42 +170,61 @@ def near_duplicates(
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = settled(_sketch(docs, words, bands, rows, id_type), "near-sketch")
+    drawn = settled(
+        _sketch(docs, words, bands, rows, id_type).withColumn("row", F.monotonically_increasing_id()), "near-sketch")
     named = drawn.where("doc_id is not null and n_shingles > 0")
-    classes = settled(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "near-classes")
+    classes = settled(named.groupBy("key").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "near-classes")
     own = settled(
-        named.join(classes, "key").where("doc_id = rep").select("rep", "n_shingles", "sketch", "buckets"), "near-own")
-    members = own.select(F.explode("buckets").alias("bucket"), F.col("rep").alias("id"), F.col("n_shingles").alias("n"))
-    stars = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("most")).where(
-        "c.id <> most").select("bucket", F.col("c.id").alias("b"), F.col("c.n").alias("m"))
-    shared = settled(members.join(stars, "bucket"), "near-shared")
-    met = shared.select("id").distinct()
-    short = settled(own.select(F.col("rep").alias("id"), F.col("sketch").alias("held")).join(met, "id", "left_semi").distinct(), "near-short")
-    dropped(own)
-    near_sizes = f"a <> b and 100 * least(n, m) >= {similarity} * greatest(n, m)"
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        return settled(_passing(pairs, short, _alike, similarity, id_type), "near-alike")
+        named.join(classes.select("key", "rep"), "key").where("row = rep")
+        .select(F.col("rep").alias("id"), "doc_id", "key", F.col("n_shingles").alias("n"), "sketch", "buckets"), "near-own")
+    members = own.select(F.explode("buckets").alias("bucket"), "id", "n")
+    crowds = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = settled(members.join(crowds, "bucket"), "near-shared")
+    weights = shared.groupBy("id").agg(F.sum("size").alias("w"))
+    left = settled(shared.join(weights, "id").select("bucket", "id", "n", "w"), "near-left")
+    short = settled(
+        own.join(shared.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "key", F.col("sketch").alias("held")),
+        "near-short")
+    dropped(own, shared)
+
+    def near(met: DataFrame) -> DataFrame:
+        """The pairs (a, b) of members ``id`` and centres ``b`` whose sizes and sketches allow the similarity."""
+        pairs = met.withColumnRenamed("id", "a").where(f"a <> b and 100 * least(n, m) >= {similarity} * greatest(n, m)")
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        return settled(_passing(pairs, short, _alike, similarity), "near-alike")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = settled(_sets(docs.join(asked, "doc_id", "left_semi"), words, id_type), "near-sets")
-        links = settled(_passing(pairs, sets, _similar_sets, similarity, id_type), "near-links")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = docs.join(short.drop("held").join(asked, "id", "left_semi"), "doc_id")
+        # Rows may repeat an id and its text.
+        sets = settled(_sets(texts, words).groupBy("id").agg(F.first("held").alias("held")), "near-sets")
+        links = settled(_passing(pairs, sets, _similar_sets, similarity), "near-links")
         dropped(sets)
         return links
 
-    pairs = alike(shared.withColumnRenamed("id", "a").where(near_sizes).select("a", "b").distinct())
+    def without(members: DataFrame, centres: DataFrame) -> DataFrame:
+        gone = centres.select("bucket", F.col("b").alias("id"))
+        return settled(members.select("bucket", "id", "n", "w").join(gone, ["bucket", "id"], "left_anti"), "near-left")
+
+    centre = F.max(F.struct("w", F.negative("id").alias("o"), "n"))
+    chosen = settled(
+        left.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.negative("c.o").alias("b"), F.col("c.n").alias("m")),
+        "near-centres")
+    pairs = near(left.join(chosen, "bucket"))
     links = similar(pairs)
     # Rows that repeat an id are one document, so its classes are linked.
-    same = (
-        named.select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
-        .groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"), F.count("*").alias("c")).where("c > 1"))
-    found = settled(components(links.unionByName(same.select("a", "b"))), "near-found")
-    dropped(pairs, links)
-
-    left = shared
+    texts = named.select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
+    first = texts.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1")
+    same = texts.join(first, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
+    found = settled(components(links.unionByName(same)), "near-found")
+    rest = without(left, chosen)
+    dropped(pairs, links, left, chosen)
+    left = rest
+
+    most = F.greatest(F.lit(centres), F.floor(F.lit(ROUND) / F.col("size")))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("w"), "id"))
     while True:
-        placed = left.select("bucket", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = left.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
         mixed_up = settled(
             sizes.groupBy("bucket").agg(
@@ -198,30 +233,26 @@ def near_duplicates(
         if mixed_up.isEmpty():
             break
         placed = settled(placed.join(mixed_up, "bucket"), "near-placed")
-        dropped(left)
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+        dropped(left, mixed_up)
         chosen = settled(
-            placed.where("component <> top").withColumn("at", rank).where(
-                F.col("at") <= F.greatest(F.lit(centres), F.floor(F.lit(ROUND) / F.col("size"))))
+            placed.where("component <> top").withColumn("at", rank).where(F.col("at") <= max(centres, ROUND)).where(F.col("at") <= most)
             .select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")), "near-centres")
-        pairs = alike(
-            placed.withColumnRenamed("id", "a").join(chosen, "bucket").where("component <> other").where(near_sizes)
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        pairs = near(placed.join(chosen, "bucket").where("component <> other"))
         if not pairs.isEmpty():
-            more = similar(pairs)
-            if not more.isEmpty():
-                found = _contracted(found, more)
-            dropped(more)
-        left = settled(
-            placed.select("bucket", "id", "n").join(
-                chosen.select("bucket", F.col("b").alias("id")), ["bucket", "id"], "left_anti"), "near-left")
-        dropped(placed, chosen, pairs, mixed_up)
-
-    reps = classes.select("key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "key", F.coalesce("component", "rep").alias("component"))
-    out = drawn.drop("buckets").join(reps, "key", "left")
-    alone = F.col("doc_id").isNull() | F.col("component").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
+            links = similar(pairs)
+            if not links.isEmpty():
+                found = _contracted(found, links)
+            dropped(links)
+        left = without(placed, chosen)
+        dropped(placed, chosen, pairs)
+
+    # A component is named by its smallest id.
+    places = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "key", "least", F.coalesce("component", "rep").alias("component"))
+    names = places.groupBy("component").agg(F.min("least").alias("name"))
+    out = drawn.select("doc_id", "n_shingles", "key").join(places.join(names, "component").select("key", "name"), "key", "left")
+    alone = F.col("doc_id").isNull() | F.col("name").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("name"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

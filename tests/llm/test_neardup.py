@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from profila.llm import neardup
 from profila.llm.shingles import shingle_set, word_hashes
 
@@ -68,3 +70,36 @@ def test_edges(spark):
     assert sorted(((x.doc_id, x.text, x.component_id) for x in kept.collect()), key=str) == sorted(
         [(1, "text a one two", "k"), (1, "text b three four", "k"), (None, "only here five", "j"), (4, None, "k"), (None, None, "k")], key=str)
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_signature_borrows_by_order():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 7, 60, 900):
+        held = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        bins = 64
+        of = np.minimum(held // np.uint64((1 << 64) // bins), np.uint64(bins - 1)).astype(int)
+        least = {b: held[of == b].min() for b in set(of.tolist())}
+        want = [least[next(b for b in order if b in least)] for order in neardup._orders(bins).tolist()]
+        assert neardup.signature(held, bins).tolist() == want
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    texts = [f"{c}1 {c}2 {c}3 {c}4" for c in "abc"]
+    rows = [(7, t) for t in texts] * 2 + [(10 + i, t + " z") for i, t in enumerate(texts)] + [(3, texts[1]), (20, "other words here")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=9).collect()
+    assert {x.doc_id: x.component_id for x in out} == {7: 3, 3: 3, 10: 10, 11: 11, 12: 12, 20: 20}
+
+
+def test_copies_of_a_late_original_are_one_group(spark):
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in r.sample(range(150), 12):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    rows.append((60, " ".join(base)))
+    want = brute(rows, 2)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == want
