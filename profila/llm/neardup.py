@@ -9,8 +9,8 @@ bucket once in 10^9, one of 0.3 shares one with 0.7 %.
 Candidates are stars: every member of a bucket is compared with the bucket's centre, the member that meets
 most others over all its buckets, since that is the one others were copied from. The centre then leaves the
 bucket. Buckets whose members still fall into several components are worked off in rounds: members outside the
-bucket's largest component become centres and are compared with all members of other components, a few per bucket and
-round, more in small buckets, until none is left, so a star loses no link that its bucket holds. Found components are
+bucket's largest component become centres and are compared with all members of other components, a few per bucket in the
+first round, twice as many in each further one, more in small buckets, until none is left, so a star loses no link that its bucket holds. Found components are
 contracted: links of later rounds are links between components, so nothing grows with the pairs of a group. Inside,
 a document is the number of its row in the written sketches, whatever the type of its id.
 
@@ -40,7 +40,7 @@ from profila.llm.shingles import PLACE, mixed, shingle_set
 WORDS = 5
 SIMILARITY = 80  # per cent
 BANDS, ROWS = 113, 8
-CENTRES = 2  # at least, per bucket and round
+CENTRES = 2  # at least, per bucket in the first round
 ROUND = 256  # pairs per bucket and round: small buckets are done in one
 STEPS = 8
 SKETCH = 128  # bytes, one per bin, spread over all bins
@@ -221,7 +221,6 @@ def near_duplicates(
     dropped(pairs, links, left, chosen)
     left = rest
 
-    most = F.greatest(F.lit(centres), F.floor(F.lit(ROUND) / F.col("size")))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("w"), "id"))
     while True:
         placed = left.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -234,6 +233,7 @@ def near_duplicates(
             break
         placed = settled(placed.join(mixed_up, "bucket"), "near-placed")
         dropped(left, mixed_up)
+        most = F.greatest(F.lit(centres), F.floor(F.lit(ROUND) / F.col("size")))
         chosen = settled(
             placed.where("component <> top").withColumn("at", rank).where(F.col("at") <= max(centres, ROUND)).where(F.col("at") <= most)
             .select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")), "near-centres")
@@ -245,6 +245,7 @@ def near_duplicates(
             dropped(links)
         left = without(placed, chosen)
         dropped(placed, chosen, pairs)
+        centres *= 2
 
     # A component is named by its smallest id.
     places = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
