@@ -195,11 +195,13 @@ def near_duplicates(
 
     def similar(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.join(short.drop("held").join(asked, "id", "left_semi"), "doc_id")
+        # Written first: Spark then knows its size, and late rounds with few pairs need not shuffle the texts.
+        asked = settled(short.drop("held").join(asked, "id", "left_semi"), "near-asked")
+        texts = docs.join(asked, "doc_id")
         # Rows may repeat an id and its text.
         sets = settled(_sets(texts, words).groupBy("id").agg(F.first("held").alias("held")), "near-sets")
         links = settled(_passing(pairs, sets, _similar_sets, similarity), "near-links")
-        dropped(sets)
+        dropped(sets, asked)
         return links
 
     def without(members: DataFrame, centres: DataFrame) -> DataFrame:
