@@ -10,9 +10,10 @@ Candidates are stars: every member of a bucket is compared with the bucket's cen
 most others over all its buckets, since that is the one others were copied from. The centre then leaves the
 bucket. Buckets whose members still fall into several components are worked off in rounds: members outside the
 bucket's largest component become centres and are compared with all members of other components, a few per bucket in the
-first round, twice as many in each further one, more in small buckets, until none is left, so a star loses no link that its bucket holds. Found components are
-contracted: links of later rounds are links between components, so nothing grows with the pairs of a group. Inside,
-a document is the number of its row in the written sketches, whatever the type of its id.
+first round, twice as many after a round with links and eight times as many after one without, more in small buckets, until
+none is left, so a star loses no link that its bucket holds. Found components are contracted: links of later rounds are links
+between components, so nothing grows with the pairs of a group. Inside, a document is the number of its row in the written
+sketches, whatever the type of its id.
 
 A pair is first compared by ``SKETCH`` bytes of both signatures; below half agreement its similarity is under 0.8
 but for less than one pair in 10^9. The rest is compared on full sets, which are written once.
@@ -191,63 +192,67 @@ def near_duplicates(
         """The pairs (a, b) of members ``id`` and centres ``b`` whose sizes and sketches allow the similarity."""
         pairs = met.withColumnRenamed("id", "a").where(f"a <> b and 100 * least(n, m) >= {similarity} * greatest(n, m)")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        return settled(_passing(pairs, short, _alike, similarity), "near-alike")
+        return _passing(pairs, short, _alike, similarity)
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        # Written first: Spark then knows its size, and late rounds with few pairs need not shuffle the texts.
+    def sets_of(asked: DataFrame) -> DataFrame:
+        # Written first: Spark then knows its size, and few ids need not shuffle the texts.
         asked = settled(short.drop("held").join(asked, "id", "left_semi"), "near-asked")
-        texts = docs.join(asked, "doc_id")
         # Rows may repeat an id and its text.
-        sets = settled(_sets(texts, words).groupBy("id").agg(F.first("held").alias("held")), "near-sets")
-        links = settled(_passing(pairs, sets, _similar_sets, similarity), "near-links")
-        dropped(sets, asked)
-        return links
+        sets = settled(
+            _sets(docs.join(asked, "doc_id"), words).groupBy("id").agg(F.first("held").alias("held")), "near-sets")
+        dropped(asked)
+        return sets
 
     def without(members: DataFrame, centres: DataFrame) -> DataFrame:
         gone = centres.select("bucket", F.col("b").alias("id"))
         return settled(members.select("bucket", "id", "n", "w").join(gone, ["bucket", "id"], "left_anti"), "near-left")
 
+    def undecided(members: DataFrame) -> DataFrame:
+        """The members, with their component, of buckets (with ``size`` and largest component) that hold several."""
+        placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+        several = sizes.groupBy("bucket").agg(
+            F.count("*").alias("k"), F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top"))
+        several = several.where("k > 1").select("bucket", F.col("top.component").alias("top"), "size")
+        return settled(placed.join(several, "bucket"), "near-placed")
+
     centre = F.max(F.struct("w", F.negative("id").alias("o"), "n"))
     chosen = settled(
         left.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.negative("c.o").alias("b"), F.col("c.n").alias("m")),
         "near-centres")
-    pairs = near(left.join(chosen, "bucket"))
-    links = similar(pairs)
+    pairs = settled(near(left.join(chosen, "bucket")), "near-alike")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    links = settled(_passing(pairs, sets, _similar_sets, similarity), "near-links")
     # Rows that repeat an id are one document, so its classes are linked.
     texts = named.select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
     first = texts.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1")
     same = texts.join(first, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
     found = settled(components(links.unionByName(same)), "near-found")
     rest = without(left, chosen)
-    dropped(pairs, links, left, chosen)
-    left = rest
+    dropped(pairs, sets, links, left, chosen)
+    left, sets = rest, None
 
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("w"), "id"))
     while True:
-        placed = left.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-        mixed_up = settled(
-            sizes.groupBy("bucket").agg(
-                F.count("*").alias("k"), F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top"))
-            .where("k > 1").select("bucket", F.col("top.component").alias("top"), "size"), "near-mixed")
-        if mixed_up.isEmpty():
+        placed = undecided(left)
+        if placed.isEmpty():
             break
-        placed = settled(placed.join(mixed_up, "bucket"), "near-placed")
-        dropped(left, mixed_up)
+        dropped(left)
+        # Later rounds ask for none but these.
+        sets = sets_of(placed.select("id").distinct()) if sets is None else sets
         most = F.greatest(F.lit(centres), F.floor(F.lit(ROUND) / F.col("size")))
         chosen = settled(
             placed.where("component <> top").withColumn("at", rank).where(F.col("at") <= max(centres, ROUND)).where(F.col("at") <= most)
             .select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")), "near-centres")
-        pairs = near(placed.join(chosen, "bucket").where("component <> other"))
-        if not pairs.isEmpty():
-            links = similar(pairs)
-            if not links.isEmpty():
-                found = _contracted(found, links)
-            dropped(links)
+        met = placed.join(chosen, "bucket").where("component <> other")
+        links = settled(_passing(near(met), sets, _similar_sets, similarity), "near-links")
+        linked = not links.isEmpty()
+        if linked:
+            found = _contracted(found, links)
         left = without(placed, chosen)
-        dropped(placed, chosen, pairs)
-        centres *= 2
+        dropped(links, placed, chosen)
+        # Few centres spare comparisons inside what a round links; where it links nothing they spare none.
+        centres *= 2 if linked else 8
 
     # A component is named by its smallest id.
     places = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
