@@ -8,12 +8,15 @@ bucket once in 10^9, one of 0.3 shares one with 0.7 %.
 
 Candidates are stars: every member of a bucket is compared with the bucket's centre, the member that meets
 most others over all its buckets, since that is the one others were copied from. The centre then leaves the
-bucket. Buckets whose members still fall into several components are worked off in rounds: members outside the
-bucket's largest component become centres and are compared with all members of other components, a few per bucket in the
-first round, twice as many after a round with links and eight times as many after one without, more in small buckets, until
-none is left, so a star loses no link that its bucket holds. Found components are contracted: links of later rounds are links
-between components, so nothing grows with the pairs of a group. Inside, a document is the number of its row in the written
-sketches, whatever the type of its id.
+bucket. Found components are contracted: links between components, so nothing grows with the pairs of a group.
+
+Buckets whose members still fall into several components get an exact prefix filter. Buckets that share members are
+one cluster. Within it the shingles of a document are put in an order common to all: those that no other component
+has, then the others, rarest first. Two similar documents have their first common shingle early in both orders: the
+shingles from there on must suffice for the similarity. So only documents of different components are compared that
+share a shingle, and both soon enough for both sizes; no pair that shares a bucket is lost, and outsiders of a large
+group, whose early shingles are their own, meet none of it. Inside, a document is the number of its row in the
+written sketches, whatever the type of its id.
 
 A pair is first compared by ``SKETCH`` bytes of both signatures; below half agreement its similarity is under 0.8
 but for less than one pair in 10^9. The rest is compared on full sets, which are written once.
@@ -31,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +45,7 @@ from profila.llm.shingles import PLACE, mixed, shingle_set
 WORDS = 5
 SIMILARITY = 80  # per cent
 BANDS, ROWS = 113, 8
-CENTRES = 2  # at least, per bucket in the first round
-ROUND = 256  # pairs per bucket and round: small buckets are done in one
+CENTRES = 1  # per bucket
 STEPS = 8
 SKETCH = 128  # bytes, one per bin, spread over all bins
 
@@ -125,6 +128,51 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "key", "text").mapInArrow(run, "id long, held binary")
 
 
+def _listed(sets: DataFrame) -> DataFrame:
+    """Rows of (id, cluster, component, held) with the set as an array."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column(3)
+            ends = np.cumsum(pa.compute.binary_length(held).to_numpy(zero_copy_only=False) // 8)
+            values = np.frombuffer(b"".join(held.to_pylist()), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], lists], ["id", "cluster", "component", "shingles"])
+
+    return sets.select("id", "cluster", "component", "held").mapInArrow(
+        run, "id long, cluster long, component long, shingles array<long>")
+
+
+def _spots(places: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Shingles that may be the first common one of a document and a similar one of another component.
+
+    ``places`` has id, n, cluster and component; ``at`` counts the document's shingles before that one.
+    """
+    shingles = _listed(sets.join(places, "id")).select("cluster", "component", "id", F.explode("shingles").alias("shingle"))
+    seen = shingles.groupBy("cluster", "shingle").agg(
+        F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("several")).where("several").drop("several")
+    mine = Window.partitionBy("id")
+    ranked = shingles.drop("component").join(seen, ["cluster", "shingle"]).select(
+        "id", "shingle", F.row_number().over(mine.orderBy("df", "shingle")).alias("nth"), F.count("*").over(mine).alias("several"))
+    at = F.col("n") - F.col("several") + F.col("nth") - 1
+    return ranked.join(places, "id").withColumn("at", at).where(f"100 * (n - at) >= {similarity} * n").select(
+        "cluster", "shingle", "id", "n", "at", "component")
+
+
+def _meeting(spots: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of different components whose shingles from a common one on suffice for the similarity."""
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("cluster", "shingle", *[F.col(c).alias(f"{c}_{name}") for c in ("id", "n", "at", "component")])
+
+    def enough(name: str) -> str:
+        return f"{100 + similarity} * (n_{name} - at_{name}) >= {similarity} * (n_a + n_b)"
+
+    # The smaller set, b, meets none smaller, so fewer of its shingles can be the first.
+    smaller = side(spots.where(f"{100 + similarity} * (n - at) >= {2 * similarity} * n"), "b")
+    met = side(spots, "a").join(smaller, ["cluster", "shingle"]).where(
+        f"component_a <> component_b and (n_a > n_b or n_a = n_b and id_a > id_b) and {enough('a')} and {enough('b')}")
+    return met.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+
+
 def _alike(one: bytes, two: bytes, similarity: int) -> bool:
     one, two = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
     return 100 * int((one == two).sum()) >= (similarity - 30) * len(one)
@@ -167,7 +215,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id that links reach) and kept.
 
-    ``similarity`` is the least Jaccard similarity of the shingle sets, in per cent.
+    ``similarity`` is the least Jaccard similarity of the shingle sets, in per cent. ``centres`` members of each bucket
+    are compared with all its others before the exact filter.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -208,17 +257,15 @@ def near_duplicates(
         return settled(members.select("bucket", "id", "n", "w").join(gone, ["bucket", "id"], "left_anti"), "near-left")
 
     def undecided(members: DataFrame) -> DataFrame:
-        """The members, with their component, of buckets (with ``size`` and largest component) that hold several."""
+        """The members, with their component, of buckets that hold several, and the bucket's smallest member."""
         placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-        several = sizes.groupBy("bucket").agg(
-            F.count("*").alias("k"), F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top"))
-        several = several.where("k > 1").select("bucket", F.col("top.component").alias("top"), "size")
-        return settled(placed.join(several, "bucket"), "near-placed")
+        several = placed.groupBy("bucket").agg(
+            F.min("component").alias("one"), F.max("component").alias("two"), F.min("id").alias("least"))
+        return settled(placed.join(several.where("one < two").select("bucket", "least"), "bucket"), "near-placed")
 
-    centre = F.max(F.struct("w", F.negative("id").alias("o"), "n"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("w"), "id"))
     chosen = settled(
-        left.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.negative("c.o").alias("b"), F.col("c.n").alias("m")),
+        left.withColumn("at", rank).where(F.col("at") <= centres).select("bucket", F.col("id").alias("b"), F.col("n").alias("m")),
         "near-centres")
     pairs = settled(near(left.join(chosen, "bucket")), "near-alike")
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -230,29 +277,21 @@ def near_duplicates(
     found = settled(components(links.unionByName(same)), "near-found")
     rest = without(left, chosen)
     dropped(pairs, sets, links, left, chosen)
-    left, sets = rest, None
-
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("w"), "id"))
-    while True:
-        placed = undecided(left)
-        if placed.isEmpty():
-            break
-        dropped(left)
-        # Later rounds ask for none but these.
-        sets = sets_of(placed.select("id").distinct()) if sets is None else sets
-        most = F.greatest(F.lit(centres), F.floor(F.lit(ROUND) / F.col("size")))
-        chosen = settled(
-            placed.where("component <> top").withColumn("at", rank).where(F.col("at") <= max(centres, ROUND)).where(F.col("at") <= most)
-            .select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other")), "near-centres")
-        met = placed.join(chosen, "bucket").where("component <> other")
-        links = settled(_passing(near(met), sets, _similar_sets, similarity), "near-links")
-        linked = not links.isEmpty()
-        if linked:
+    placed = undecided(rest)
+    dropped(rest)
+    if not placed.isEmpty():
+        clusters = components(placed.select(F.col("id").alias("a"), F.col("least").alias("b")))
+        places = settled(
+            placed.select("id", "n", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "id", "left")
+            .withColumn("cluster", F.coalesce("cluster", "id")), "near-places")
+        sets = sets_of(places.select("id"))
+        spots = settled(_spots(places, sets, similarity), "near-spots")
+        pairs = settled(_passing(_meeting(spots, similarity), short, _alike, similarity), "near-alike")
+        links = settled(_passing(pairs, sets, _similar_sets, similarity), "near-links")
+        if not links.isEmpty():
             found = _contracted(found, links)
-        left = without(placed, chosen)
-        dropped(links, placed, chosen)
-        # Few centres spare comparisons inside what a round links; where it links nothing they spare none.
-        centres *= 2 if linked else 8
+        dropped(places, sets, spots, pairs, links)
+    dropped(placed, short)
 
     # A component is named by its smallest id.
     places = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(

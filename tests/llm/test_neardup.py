@@ -103,3 +103,20 @@ def test_copies_of_a_late_original_are_one_group(spark):
     want = brute(rows, 2)
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == want
+
+
+def test_outsiders_of_a_large_group_are_not_compared_with_all_of_it(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        words = list(base)
+        for at in r.sample(range(150), 4 if i % 3 else 14):  # of 150: similar to the first, or not
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    compared, passing = [], neardup._passing
+    monkeypatch.setattr(neardup, "_passing", lambda pairs, *rest: compared.append(pairs.count()) or passing(pairs, *rest))
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == brute(rows, 2)
+    assert len({x.component_id for x in out}) > 30
+    assert sum(compared) < 15 * len(rows), compared  # members times outsiders: over 3000 pairs
