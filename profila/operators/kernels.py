@@ -22,6 +22,7 @@ from profila.session import staging_path
 
 SKETCH = 10_000              # a quantile of the sketch is off by one in so many ranks at most
 REACHES = (3 / SKETCH, 0.03)  # half widths of the spans around wanted ranks, as shares of a group
+CELLS = 1 << 20              # cells that meet their rows in one task
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -197,7 +198,9 @@ def rank_table(df: DataFrame, cols: Sequence[str], gappy: Sequence[str], row: st
     ``gappy`` names the columns with missing values. A row's bitmask of those, as a string, is a dimension of
     one histogram (column, value, mask, count) for all columns; a value's rank next to a partner counts the
     masks that hold the partner. Ranks meet the cells in one join and the cells their row in one shuffle,
-    whatever the number of columns. ``row`` names a column that is unique per row; without one the rows are
+    whatever the number of columns. That shuffle comes before the aggregate, in tasks of about ``CELLS`` cells:
+    no two cells of a row meet earlier in a way that would save rows, so a partial aggregate would only hold
+    all rows of its task. ``row`` names a column that is unique per row; without one the rows are
     written first, so that numbers given to them hold.
     """
     spark = df.sparkSession
@@ -224,7 +227,8 @@ def rank_table(df: DataFrame, cols: Sequence[str], gappy: Sequence[str], row: st
     ranks = [F.col(f"upto_{n}") - (F.col(n) - 1) / 2 for n in names]
     looked_up = running_totals(seen, "c", "value", names).select(
         "c", "value", (F.array(*ranks) if slots else ranks[0]).alias("r"))
-    return RankTable(cells.join(looked_up, ["c", "value"]).groupBy("id").agg(*[
+    tasks = max(1, -(-rows.count() * len(cols) // CELLS))
+    return RankTable(cells.join(looked_up, ["c", "value"]).repartition(tasks, "id").groupBy("id").agg(*[
         F.max(F.when(F.col("c") == i, F.col("r"))).alias(f"r{i}") for i in range(len(cols))]), slots)
 
 

@@ -146,3 +146,14 @@ def test_report_numbers_do_not_depend_on_the_route(spark):
     pivot = relate.pivot(ev, "event_type", None, "value", "median").toPandas()
     want = ev.toPandas().groupby("event_type").value.median().round(4)
     assert pivot.set_index("row").value.to_dict() == pytest.approx(want.to_dict())
+
+
+def test_cells_meet_their_rows_in_bounded_tasks(spark, skewed, monkeypatch):
+    """Tasks grow with the cells, and nothing is aggregated by row number before they are dealt."""
+    monkeypatch.setattr(kernels, "CELLS", 200)
+    df = frame(spark, skewed)
+    whole = kernels.rank_table(df, ["v", "w"], ["v"], "id").rows
+    assert whole.rdd.getNumPartitions() == 15  # 1500 rows of two cells
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    top, below = plan.split("REPARTITION_BY_NUM")[:2]
+    assert "=[id#" in top and "Aggregate(key=[id#" not in below and "Aggregate(keys=[id#" not in below
