@@ -70,8 +70,9 @@ def eligible(
     if profile is None:
         cells = long_form(numbers(df, cols), cols).groupBy("column")
         profile = cells.agg(F.count("value").alias("count"), (F.count("*") - F.count("value")).alias("missing"),
-                            F.stddev_samp("value").alias("std"))
-    varying = profile.where((F.col("count") >= MIN_PAIR_ROWS) & (F.col("std") > 0)).select(
+                            F.min("value").alias("min"), F.max("value").alias("max"))
+    # not by the deviation: merged over many tasks, that of equal values is not always 0
+    varying = profile.where((F.col("count") >= MIN_PAIR_ROWS) & (F.col("min") < F.col("max"))).select(
         "column", "missing", place.alias("place"), F.row_number().over(W.orderBy("missing", place)).alias("nth"))
     found = sorted(varying.collect(), key=lambda r: r["place"])
     kept = [r for r in found if most is None or r["nth"] <= most]

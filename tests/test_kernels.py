@@ -148,6 +148,13 @@ def test_report_numbers_do_not_depend_on_the_route(spark):
     assert pivot.set_index("row").value.to_dict() == pytest.approx(want.to_dict())
 
 
+def test_equal_values_of_many_tasks_do_not_vary(spark):
+    """49 times the double 1 / 49 is not 1, so the mean drifts when parts of 49 rows are merged."""
+    df = spark.range(49 * 40, numPartitions=40).select(F.lit(1.0).alias("same"), F.col("id").cast("double").alias("up"))
+    assert relate.eligible(df, ["same", "up"])[0] == ["up"]
+    assert relate.spearman(df, ["same", "up"]) is None
+
+
 def test_cells_meet_their_rows_in_bounded_tasks(spark, skewed, monkeypatch):
     """Tasks grow with the cells, and nothing is aggregated by row number before they are dealt."""
     monkeypatch.setattr(kernels, "CELLS", 200)
