@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Largest table the library broadcasts itself, in rows of a few fixed-width fields.
 BROADCAST_ROWS = 1_000_000
+# Most bytes of a file that one task reads: a task's distinct values are held until they are shuffled.
+SPLIT_BYTES = 16 << 20
 
 
 def setting(spark: SparkSession, name: str, default: int) -> int:
@@ -27,8 +29,11 @@ def broadcast_rows(spark: SparkSession) -> int:
 def use_utc(spark: SparkSession) -> SparkSession:
     """Date parsing and truncation assume UTC, so zoned stamps land on naive UTC values.
 
-    Column names may differ by case alone, so they are told apart by it.
+    Column names may differ by case alone, so they are told apart by it. Reads are split finer than by default.
     """
+    most, name = setting(spark, "splitBytes", SPLIT_BYTES), "spark.sql.files.maxPartitionBytes"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
     for name, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.caseSensitive", "true")):
         if spark.conf.get(name) != value:
             spark.conf.set(name, value)

@@ -291,3 +291,17 @@ def test_default_measure(spark):
     assert defaults.measure(profile_table("t", df)) == ("Sales", "sum")
     assert defaults.measure(profile_table("t", df.select("_row", "height"))) == ("height", "mean")
     assert defaults.measure(profile_table("t", df.select("_row", F.lit("x").alias("s")))) == (None, "count")
+
+
+def test_reads_are_split_finely_but_never_coarser(spark):
+    from profila.session import SPLIT_BYTES, use_utc
+
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for given, used in (("128m", str(SPLIT_BYTES)), ("1m", "1m")):
+            spark.conf.set(name, given)
+            use_utc(spark)
+            assert spark.conf.get(name) == used
+    finally:
+        spark.conf.set(name, before)
