@@ -9,7 +9,9 @@ and a window is repeated if its permuted common prefix with a neighbour covers i
 
 An anchor with more than ``BLOCK`` segments is dealt over several shards. Each finds what repeats
 within it; of every group of equal windows one is then counted over the shards, by anchor and 64-bit
-hash, and the windows that were alone in their shard get the answer. Counts are combined before each
+hash, and the windows that were alone in their shard get the answer. Shards tell of up to ``STEP`` neighbouring
+windows in one row, by the hash of the bytes these have in common: equal windows lie at equal places from
+their anchor, so only rows whose common bytes occur in another shard are opened. Counts are combined before each
 shuffle; no group is gathered, except the findings of one text for that text.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; equal rows repeat each
@@ -39,6 +41,8 @@ PIECE = 1 << 22
 # Most segments of one anchor in one shard, and the bytes of segments per shard (on average).
 BLOCK = 1024
 SHARD = 1 << 19
+# Neighbouring windows that a shard tells of in one row.
+STEP = 16
 
 _LOW = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(77).integers(0, 1 << 64, 256, np.uint64)
@@ -120,7 +124,7 @@ def _sketch(docs: DataFrame, length: int) -> DataFrame:
 
 def _opened(texts: DataFrame, length: int) -> DataFrame:
     """The bytes of the segments listed beside a text."""
-    names = ["anchor", "content", "copies", "block", "blocks"]
+    names = ["anchor", "offset", "content", "copies", "block", "blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,14 +137,14 @@ def _opened(texts: DataFrame, length: int) -> DataFrame:
                 at += n
             yield pa.RecordBatch.from_arrays([*(listed.field(c) for c in names), pa.array(cut, pa.binary())], [*names, "raw"])
 
-    return texts.mapInArrow(run, "anchor long, content long, copies long, block long, blocks long, raw binary")
+    return texts.mapInArrow(run, "anchor long, offset long, content long, copies long, block long, blocks long, raw binary")
 
 
 def repeated_in_shard(shard: pd.DataFrame, length: int) -> pd.DataFrame:
     """Runs of repeated windows per segment, and what other shards of its anchor must hear of.
 
-    ``hash`` is null for runs; else it is that of one window: of several equal ones (``alone`` is
-    false) or of one that is alone here.
+    ``core`` is null for runs. Else the row lists windows of one segment, one of each group of equal ones,
+    with their hashes and whether they are alone here, and ``core`` is the hash of their common bytes.
     """
     shard = shard.sort_values(["anchor", "content"], ignore_index=True)
     text, begin = joined(shard["raw"].tolist())
@@ -156,20 +160,31 @@ def repeated_in_shard(shard: pd.DataFrame, length: int) -> pd.DataFrame:
     several &= is_window
     first = np.flatnonzero(several & ~np.concatenate(([False], several[:-1])))
     last = np.flatnonzero(several & ~np.append(several[1:], False))
-    runs = pd.DataFrame({"at": first, "windows": last - first + 1, "hash": pd.array([None] * len(first), "Int64"), "alone": False})
     # One of each group of equal windows, where the anchor has other shards.
     heads = order[~follows[:-1]]
     heads = np.sort(heads[is_window[heads]])
     heads = heads[(shard["blocks"].to_numpy() > 1)[segment[heads]]]
-    raw = np.frombuffer(b"\0".join(shard["raw"].tolist()), np.uint8)
-    hashes = Hashes(raw).of(heads, length).view(np.int64)
-    told = pd.DataFrame({"at": heads, "windows": 1, "hash": pd.array(hashes, "Int64"), "alone": ~several[heads]})
-    out = pd.concat([runs, told], ignore_index=True)
-    own = segment[out["at"].to_numpy(np.int64)]
+    hashes = Hashes(np.frombuffer(b"\0".join(shard["raw"].tolist()), np.uint8))
+    offset = shard["offset"].to_numpy()[segment[heads]]
+    step = min(STEP, length - GRAM)
+    nth = (offset - within[heads]) // step
+    begins = np.flatnonzero(np.diff(segment[heads], prepend=-1) | np.diff(nth, prepend=-1))
+    lead, nth, offset = heads[begins], nth[begins], offset[begins]
+    # Windows begin up to step - 1 bytes before the last place they may begin at.
+    core = hashes.of(lead - within[lead] + offset - nth * step, length - step + 1)
+    core = mixed(core + nth.astype(np.uint64) * PLACE).view(np.int64)
+
+    def listed(values: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, begins[1:]) if len(begins) else []
+
+    at = np.concatenate([first, lead])
+    own, none = segment[at], [None] * len(first)
     return pd.DataFrame({
         "anchor": shard["anchor"].to_numpy()[own], "content": shard["content"].to_numpy()[own],
-        "block": shard["block"].to_numpy()[own], "within": within[out["at"].to_numpy(np.int64)],
-        "windows": out["windows"], "hash": out["hash"], "alone": out["alone"]})
+        "block": shard["block"].to_numpy()[own], "within": within[at],
+        "windows": np.concatenate([last - first + 1, np.ones(len(lead), np.int64)]),
+        "core": pd.array(none + core.tolist(), "Int64"), "places": none + listed(within[heads]),
+        "hashes": none + listed(hashes.of(heads, length).view(np.int64)), "alone": none + listed(~several[heads])})
 
 
 def without_repeats(
@@ -190,12 +205,12 @@ def without_repeats(
     whole = rows.where("not several").select("key", "start", "windows")
     kinds = settled(
         rows.where("several").groupBy("anchor", "content").agg(
-            F.count("*").alias("copies"), F.min(F.struct("key", "start", "windows")).alias("r"))
+            F.count("*").alias("copies"), F.min(F.struct("key", "offset", "start", "windows")).alias("r"))
         .select("anchor", "content", "copies", "r.*"), "repeats-kinds")
     blocks = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     kinds = kinds.join(blocks, "anchor").withColumn("block", F.pmod("content", "blocks"))
     opened = kinds.groupBy("key").agg(
-        F.collect_list(F.struct("anchor", "content", "copies", "block", "blocks", "start", "windows")).alias("listed"))
+        F.collect_list(F.struct("anchor", "offset", "content", "copies", "block", "blocks", "start", "windows")).alias("listed"))
     texts = docs.select("key", "text").join(opened.select("key"), "key", "left_semi").dropDuplicates(["key"])
     held = settled(_opened(texts.join(opened, "key").select("text", "listed"), length), "repeats-opened")
     size = held.agg(F.sum(F.length("raw"))).first()[0] or 0
@@ -203,12 +218,17 @@ def without_repeats(
     heard = settled(
         held.groupBy(shard.alias("shard")).applyInPandas(
             lambda part: repeated_in_shard(part, length),
-            "anchor long, content long, block long, within long, windows long, hash long, alone boolean"), "repeats-heard")
-    told = heard.where("hash is not null")
+            "anchor long, content long, block long, within long, windows long, core long, places array<long>, "
+            "hashes array<long>, alone array<boolean>"), "repeats-heard")
+    listed = heard.where("core is not null")
+    far = listed.groupBy("anchor", "core").agg((F.min("block") < F.max("block")).alias("far")).where("far").drop("far")
+    told = listed.join(far, ["anchor", "core"], "left_semi").select(
+        "anchor", "content", "block", "windows", F.explode(F.arrays_zip("places", "hashes", "alone")).alias("s")).select(
+        "anchor", "content", "block", "windows", F.col("s.places").alias("within"), F.col("s.hashes").alias("hash"), "s.alone")
     met = told.groupBy("anchor", "hash").agg((F.min("block") < F.max("block")).alias("met")).where("met").drop("met")
     columns = ["anchor", "content", "within", "windows"]
     again = settled(
-        heard.where("hash is null").select(columns)
+        heard.where("core is null").select(columns)
         .unionByName(told.where("alone").join(met, ["anchor", "hash"], "left_semi").select(columns)), "repeats-again")
     parts = rows.where("several").drop("windows").join(again, ["anchor", "content"]).select(
         "key", (F.col("start") + F.col("within")).alias("start"), "windows")

@@ -1,10 +1,10 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 A suffix is S if it is smaller than the one after it, else L; an S right of an L is leftmost-smaller
-(LMS). The substrings from one LMS place to the next are sorted by inducing, named, and the string
-of names is sorted in the same way, recursively, until all names differ; the LMS suffixes' order
-then induces that of all suffixes. Bytes are induced a bucket at a time, names one at a time; both
-take time linear in the text.
+(LMS). The substrings from one LMS place to the next are sorted by inducing and named; where names
+repeat, the suffixes of the string of names are sorted by doubling. The LMS suffixes' order then
+induces that of all suffixes. Bytes are induced a bucket at a time, in time linear in the text; the names,
+at most half as many, are sorted once per doubling of the longest repeat.
 """
 
 from __future__ import annotations
@@ -113,61 +113,23 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     is_lms[lms] = True
     ranked = _induced(text, small, lms)
     names, different = _named(text, lms, ranked[is_lms[ranked]])
-    order = np.argsort(names) if different == len(names) else np.array(_sorted_names(names.tolist(), different))
+    order = np.argsort(names) if different == len(names) else _sorted_names(names)
     return _induced(text, small, lms[order])
 
 
-def _sorted_names(text: list[int], names: int) -> list[int]:
-    """The suffix array of a string of names; the last is the only 0."""
-    n = len(text)
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and small[i + 1])
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    end = [0] * names
-    for c in text:
-        end[c] += 1
-    for c in range(1, names):
-        end[c] += end[c - 1]
-    begin = [0, *end[:-1]]
-
-    def induced(places: list[int]) -> list[int]:
-        out, edge = [-1] * n, end[:]
-        for i in reversed(places):
-            edge[text[i]] -= 1
-            out[edge[text[i]]] = i
-        edge = begin[:]
-        for i in out:  # the list fills ahead of the loop
-            if i > 0 and not small[i - 1]:
-                c = text[i - 1]
-                out[edge[c]] = i - 1
-                edge[c] += 1
-        edge = end[:]
-        for at in range(n - 1, -1, -1):
-            i = out[at]
-            if i > 0 and small[i - 1]:
-                c = text[i - 1]
-                edge[c] -= 1
-                out[edge[c]] = i - 1
-        out[0] = n - 1
-        return out
-
-    is_lms = [False] * n
-    after = {}
-    for i, j in zip(lms, [*lms[1:], n - 1]):
-        is_lms[i], after[i] = True, j + 1
-    name, last, given = {}, None, -1
-    for i in induced(lms):
-        if is_lms[i]:
-            part = text[i : after[i]]
-            given += part != last
-            name[i], last = given, part
-    reduced = [name[i] for i in lms]
-    if given + 1 == len(lms):
-        order = sorted(range(len(lms)), key=reduced.__getitem__)
-    else:
-        order = _sorted_names(reduced, given + 1)
-    return induced([lms[i] for i in order])
+def _sorted_names(names: np.ndarray) -> np.ndarray:
+    """Places of the suffixes of a string of names in order, by the ranks of 1, 2, 4 ... names; the last is the only 0."""
+    n, width, rank = len(names), 1, names.astype(np.int64)
+    while True:
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - width] = rank[width:] + 1
+        key = rank * (n + 1) + ahead
+        order = np.argsort(key, kind="stable")
+        differs = np.diff(key[order]) > 0
+        if differs.all():
+            return order
+        rank[order] = np.concatenate(([0], np.cumsum(differs)))
+        width = min(2 * width, n)
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,20 @@ def test_neighbours_and_edges(spark):
     out = ann.nearest(spark.createDataFrame(rows, schema), "vec_id % 50 = 0").orderBy("rank").collect()
     assert [(x.query_id, x["rank"], x.vec_id, x.score) for x in out] == [(0, 1, 1, 1.0), (0, 2, 7, 1.0), (0, 3, 2, 0.0)]
     assert ann.nearest(spark.createDataFrame([], schema), "vec_id % 50 = 0").collect() == []
+
+
+def test_shards_tell_of_neighbouring_windows_in_one_row():
+    r = random.Random(11)
+    base = bytes(r.choice(b"abcdefgh") for _ in range(300))
+    cuts = [base] + [base[:at] + b"X" + base[at + 1 :] for at in r.sample([*range(110), *range(160, 300)], 25)]
+    shard = pd.DataFrame({"anchor": 7, "offset": 120, "content": range(len(cuts)), "copies": 1, "block": 0, "blocks": 2, "raw": cuts})
+    out = repeats.repeated_in_shard(shard, 200)
+    told = out[out["core"].notna()]
+    windows = Counter((at, cut[at : at + 200]) for cut in cuts for at in range(101))
+    listed = [(at, cuts[x.content][at : at + 200], alone) for x in told.itertuples() for at, alone in zip(x.places, x.alone)]
+    assert sorted(listed) == sorted((at, w, n == 1) for (at, w), n in windows.items())
+    assert len(told) * 8 < len(listed)
+    # Equal common bytes have equal hashes, others have not.
+    cores = {(x.core, (120 - at) // repeats.STEP, cuts[x.content][120 - (120 - at) // repeats.STEP * repeats.STEP :][: 200 - repeats.STEP + 1])
+             for x in told.itertuples() for at in x.places}
+    assert len(cores) == len({c[0] for c in cores}) == len({c[1:] for c in cores})
