@@ -39,6 +39,7 @@ CUTS = (8, 16, 32, 64, 128)  # characters of the beginnings that floors are fitt
 BANDS = 48                   # powers of two of gram counts
 BAND_ROWS = 8                # labelled texts that fit a floor
 BLOCK = 1 << 20
+ROWS = 512  # of a dense block of training rows
 
 # Fixed: odd multipliers of the two n-gram hashes.
 PAIR = (np.uint32(2654435761), np.uint32(2246822519))
@@ -158,32 +159,44 @@ def train(
     rows, cuts = [r[:3] for r in found if not r[3]], [r[:3] for r in found if r[3]]
     if not rows:
         return empty
-
-    def dense(rows: list[tuple]) -> np.ndarray:
-        out = np.zeros((len(rows), places), np.float32)
-        for i, (_, at, n) in enumerate(rows):
-            out[i, np.frombuffer(at, "<u4")] = np.frombuffer(n, "<f4")
+    holding = sum(np.bincount(np.frombuffer(at, "<u4"), minlength=places) for _, at, _ in rows)
+    model = Model([], np.zeros((0, places), np.float32), np.log((1 + len(rows)) / (1 + holding)) + 1, np.zeros(0))
+
+    # Dense rows take many times the memory of sparse ones: only vectors of one language, else blocks of them, are made.
+    def dense(rows: list[tuple], first: int, last: int, steps: list[int]) -> np.ndarray:
+        """Counts of rows ``first`` to ``last``, each joined with those ``steps`` further on."""
+        out = np.zeros((last - first, places), np.float32)
+        for i in range(first, last):
+            for step in steps:
+                _, at, n = rows[i + step]
+                out[i - first, np.frombuffer(at, "<u4")] += np.frombuffer(n, "<f4")
         return out
 
-    counts = dense(rows)
-    model = Model([], counts, np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1, np.zeros(0))
-    vectors, langs = model.vectors(counts), np.array([r[0] for r in rows], dtype=object)
+    def blocks(rows: list[tuple], n: int, steps: list[int]) -> Iterator[np.ndarray]:
+        return (dense(rows, at, min(at + ROWS, n), steps) for at in range(0, n, ROWS))
+
     centres, floors = [], []
-    for lang in sorted(set(langs)):
-        own = vectors[langs == lang]
-        centres.append(clusters(own, centroids, ROUNDS, seed))
-        seen = [((own @ centres[-1].T).max(axis=1), band(counts[langs == lang]))]
+    for lang in sorted({r[0] for r in rows}):
+        own, short = [r for r in rows if r[0] == lang], [r for r in cuts if r[0] == lang]
+        vectors, bands = np.empty((len(own), places), np.float32), []
+        for i, counts in enumerate(blocks(own, len(own), [0])):
+            vectors[i * ROWS : i * ROWS + len(counts)] = model.vectors(counts)
+            bands.append(band(counts))
+        centres.append(clusters(vectors, centroids, ROUNDS, seed))
+        seen = [((vectors @ centres[-1].T).max(axis=1), np.concatenate(bands))]
+        del vectors
 
         def look(part: np.ndarray) -> None:
             seen.append(((model.vectors(part) @ centres[-1].T).max(axis=1), band(part)))
 
-        short = [r for r in cuts if r[0] == lang]
-        for at in range(0, len(short), 512):
-            look(dense(short[at : at + 512]))
-        joined = counts[langs == lang]
-        while len(joined) >= 2 * BAND_ROWS:  # pairs of texts, fours, eights...
-            joined = joined[: len(joined) // 2] + joined[len(joined) // 2 : len(joined) // 2 * 2]
-            look(joined)
+        for counts in blocks(short, len(short), [0]):
+            look(counts)
+        half, steps = len(own) // 2, [0]
+        while half >= BAND_ROWS:  # pairs of texts, fours, eights...
+            steps = steps + [step + half for step in steps]
+            for counts in blocks(own, half, steps):
+                look(counts)
+            half //= 2
         model.languages += [lang] * len(centres[-1])
         floors += [fit_floors(*map(np.concatenate, zip(*seen)), reject)] * len(centres[-1])
     model.centroids, model.floors = np.concatenate(centres), np.array(floors)

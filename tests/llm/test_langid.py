@@ -1,3 +1,5 @@
+import tracemalloc
+
 from profila.llm import langid
 from profila.llm.queries import op2_language_id
 
@@ -20,3 +22,16 @@ def test_edges(spark):
     assert {x for x in out if x[0] >= 50} == {(50, "und", True), (51, "und", True)}
     assert all(pred == ("de" if i % 2 else "en") for i, pred, _ in out if i < 20)
     assert langid.keep_identified(docs.limit(0)).collect() == []
+
+
+def test_training_holds_no_dense_table(spark):
+    words = [" ".join(f"{c}{d}" for d in "aeiou" for c in part) for part in ("bcdf", "ghjk", "lmnp", "rstv")]
+    docs = spark.range(4000).selectExpr(
+        "id AS doc_id", "concat('l', id % 4) AS lang", f"concat(element_at(array({', '.join(map(repr, words))}), int(id % 4) + 1), hex(id)) AS text")
+    docs.count()
+    tracemalloc.start()
+    model = langid.train(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(set(model.languages)) == ["l0", "l1", "l2", "l3"]
+    assert most < 4000 * langid.PLACES * 8, most  # the rows as one dense table, and its vectors, take that
