@@ -48,6 +48,7 @@ BANDS, ROWS = 113, 8
 CENTRES = 1  # per bucket
 STEPS = 8
 SKETCH = 128  # bytes, one per bin, spread over all bins
+SIEVE, SIEVE_MOST = 16, 1 << 27  # bits per id asked for, and at most: 16 MB
 
 
 @lru_cache(maxsize=4)
@@ -128,6 +129,21 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "key", "text").mapInArrow(run, "id long, held binary")
 
 
+def _sieved(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` may be in ``asked``: all that are, and few others.
+
+    A bit is set for the hash of each id asked for, ``SIEVE`` bits an id. That is broadcast, so that the texts of the
+    others are not shuffled to a join; beyond ``SIEVE_MOST`` bits more of them pass.
+    """
+    bits = min(SIEVE * max(1, asked.count()), SIEVE_MOST)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    part, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    sieve = asked.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.withColumn("part", part).join(F.broadcast(sieve), "part").where(
+        F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).drop("part", "bits")
+
+
 def _listed(sets: DataFrame) -> DataFrame:
     """Rows of (id, cluster, component, held) with the set as an array."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +260,11 @@ def near_duplicates(
         return _passing(pairs, short, _alike, similarity)
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        # Written first: Spark then knows its size, and few ids need not shuffle the texts.
+        # Written first: Spark then knows its size, and the texts of ids that nobody asks for are not shuffled.
         asked = settled(short.drop("held").join(asked, "id", "left_semi"), "near-asked")
         # Rows may repeat an id and its text.
         sets = settled(
-            _sets(docs.join(asked, "doc_id"), words).groupBy("id").agg(F.first("held").alias("held")), "near-sets")
+            _sets(_sieved(docs, asked).join(asked, "doc_id"), words).groupBy("id").agg(F.first("held").alias("held")), "near-sets")
         dropped(asked)
         return sets
 

@@ -120,3 +120,30 @@ def test_outsiders_of_a_large_group_are_not_compared_with_all_of_it(spark, monke
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == brute(rows, 2)
     assert len({x.component_id for x in out}) > 30
     assert sum(compared) < 15 * len(rows), compared  # members times outsiders: over 3000 pairs
+
+
+def test_texts_that_nobody_asks_for_are_not_shuffled(spark, monkeypatch):
+    ids = "named_struct('unnamed', id % 50 = 0, 'id', if(id % 50 = 0, null, id))"
+    docs = spark.range(30000).selectExpr("id", f"{ids} AS doc_id", "concat('text ', id) AS text")
+    asked = docs.where("id % 30 = 7").select("doc_id")
+    for most in (neardup.SIEVE_MOST, 5000):
+        monkeypatch.setattr(neardup, "SIEVE_MOST", most)
+        out = neardup._sieved(docs, asked)
+        assert out.columns == docs.columns
+        found = {r.id for r in out.collect()}
+        assert found >= set(range(7, 30000, 30))
+        assert len(found) < (4000 if most > 5000 else 10000)
+    assert neardup._sieved(docs, asked.limit(0)).count() == 0
+    named = spark.createDataFrame([(None, "a b"), ("x", "c d"), ("y", "e f")], "doc_id string, text string")
+    assert [r.text for r in neardup._sieved(named, named.where("doc_id = 'x'").select("doc_id")).collect()] == ["c d"]
+
+    shuffled, sets = [], neardup._sets
+    monkeypatch.setattr(neardup, "_sets", lambda rows, size: shuffled.append(rows._jdf.queryExecution().toString()) or sets(rows, size))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, f"w{i // 2} " * 3 + " ".join(f"v{i // 2}_{k}" for k in range(40)) + (" z" if i % 2 else "")) for i in range(20)]
+        out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {x.doc_id: x.component_id for x in out} == {i: i - i % 2 for i in range(20)}
+    assert shuffled and all("getbit" in plan for plan in shuffled)
